@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions import rules, text, vocab
 from codeloom.functions.pyast import symbol_rows
@@ -14,19 +15,20 @@ from codeloom.schemas import SYMBOLS
 
 BUCKETS = ["function", "class", "import", "assignment", "statement"]
 _COLUMNS = [f.name for f in SYMBOLS.fields]
-_NUMBERS = {f.name: "Int64" for f in SYMBOLS.fields if f.dataType.typeName() in ("integer", "long")}
+_FILES_PER_CHUNK = 64
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shape = to_arrow_schema(SYMBOLS)
     for batch in batches:
-        for start in range(0, len(batch), 64):
-            part = batch.iloc[start : start + 64]
+        for start in range(0, batch.num_rows, _FILES_PER_CHUNK):
+            files = batch.slice(start, _FILES_PER_CHUNK).to_pylist()
             rows = [
-                {"repo": repo, "path": path, **row}
-                for repo, path, content in part.itertuples(index=False)
-                for row in symbol_rows(content)
+                {"repo": file["repo"], "path": file["path"], **row}
+                for file in files
+                for row in symbol_rows(file["content"])
             ]
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype(_NUMBERS)
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     The only Python step: one pass over (repo, path, content) in the scan's own
     partitions.  Text goes no further, so it is never shuffled.
     """
-    return files.select("repo", "path", "content").mapInPandas(_parse_batches, SYMBOLS)
+    return files.select("repo", "path", "content").mapInArrow(_parse_batches, SYMBOLS)
 
 
 def _bucket(symbols: DataFrame, *names: str) -> DataFrame:
