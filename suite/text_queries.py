@@ -146,10 +146,9 @@ def find_line_by_content(t):
     return found.filter(F.col("line").isNotNull()).select("path", "hint", F.col("line").cast("long"))
 
 
-@query("files", f"""
-    SELECT path FROM (SELECT path, {_LINES} AS l FROM files) WHERE len(list_filter(l, lambda x: rtrim(x) = 'La.')) > 0""")
+@query("code", "SELECT path FROM code WHERE valid AND k % 2 = 0")
 def whole_line_present(t):
-    return scan.whole_line_present(t.files, "La.")
+    return scan.whole_line_present(t.code, '    """A box that holds parts."""')
 
 
 # ------------------------------------------------------------------ rewrites
