@@ -164,7 +164,9 @@ def words(content: Column) -> Column:
 def call_names(content: Column, dotted: bool = False) -> Column:
     """Names directly followed by ``(`` (or also by ``.``), one entry per occurrence."""
     tail = r"[(.]" if dotted else r"\("
-    return F.regexp_extract_all(content, F.lit(rf"({vocab.WORD}+)\s*{tail}"), F.lit(1))
+    # Whole words only, without backtracking into them: one pass over the text.
+    whole = rf"(?<!{vocab.WORD})({vocab.WORD}++)\s*+{tail}"
+    return F.regexp_extract_all(content, F.lit(whole), F.lit(1))
 
 
 def import_line_names(content: Column) -> Column:
@@ -209,20 +211,22 @@ def target_entity(target: Column) -> Column:
     return F.when(F.contains(target, F.lit(":")), F.substring_index(target, ":", -1)).otherwise("")
 
 
+def _after(value: Column, mark: str) -> Column:
+    """Text after the first ``mark``."""
+    return F.substr(value, F.instr(value, mark) + 1)
+
+
 def decode_target(target: Column) -> Column:
     """struct<file, entity_type, entity_name>; legacy ``path:line`` targets become type line."""
-    rest = F.regexp_extract(target, r"(?s)^[^@]*@(.*)$", 1)
-    modern = F.struct(
-        F.substring_index(target, "@", 1).alias("file"),
-        F.substring_index(rest, ":", 1).alias("entity_type"),
-        F.regexp_extract(rest, r"(?s)^[^:]*:(.*)$", 1).alias("entity_name"),
-    )
-    legacy = F.struct(
-        F.substring_index(target, ":", 1).alias("file"),
-        F.lit("line").alias("entity_type"),
-        F.coalesce(F.get(F.split(target, ":", -1), F.lit(1)), F.lit("")).alias("entity_name"),
+    modern = F.contains(target, F.lit("@"))
+    rest = _after(target, "@")
+    name = F.when(F.contains(rest, F.lit(":")), _after(rest, ":")).otherwise("")
+    line = F.coalesce(F.get(F.split(target, ":", -1), F.lit(1)), F.lit(""))
+    return F.struct(
+        target_file(target).alias("file"),
+        F.when(modern, F.substring_index(rest, ":", 1)).otherwise("line").alias("entity_type"),
+        F.when(modern, name).otherwise(line).alias("entity_name"),
     )
-    return F.when(F.contains(target, F.lit("@")), modern).otherwise(legacy)
 
 
 def context_hash(action_type: Column, risk_level: Column) -> Column:

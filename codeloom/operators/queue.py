@@ -50,23 +50,49 @@ def is_blocked(reviews: DataFrame) -> DataFrame:
     )
 
 
+def _reason(first_visible: Column) -> Column:
+    """Blocking text.  An order belongs to one action type, so the number is enough."""
+    names = F.array(*[F.lit(name) for name in vocab.FILE_ACTION_ORDER])
+    blocker = F.get(names, F.when(first_visible < F.col("action_order"), first_visible))
+    text_ = F.concat(F.lit("Complete '"), blocker, F.lit("' first"))
+    return F.coalesce(F.when(F.col("is_blocked"), text_), F.lit(""))
+
+
+def _visible(owner: str | None) -> Column:
+    return F.lit(True) if owner is None else F.coalesce(F.col("owner") == owner, F.lit(False))
+
+
+def _blocking(reviews: DataFrame, owner: str | None) -> DataFrame:
+    """Visible rows with blocking, reason and group facts.
+
+    One aggregate of plain numbers per file, combined before the shuffle, and one join.
+    """
+    rows = with_file(reviews).withColumn("_seen", _visible(owner))
+    seen_order = F.when(F.col("_seen"), F.col("action_order"))
+    facts = rows.groupBy("file").agg(
+        F.min("action_order").alias("_lowest"), F.min(seen_order).alias("_first"), F.max(seen_order).alias("_last"),
+        F.count_if("_seen").alias("group_total"),
+    )
+    return (
+        rows.filter("_seen").join(facts, "file")
+        .withColumn("is_blocked", F.col("_lowest") < F.col("action_order"))
+        .withColumn("has_blocked", F.col("_lowest") < F.col("_last"))
+        .withColumn("block_reason", _reason(F.col("_first")))
+        .select(*reviews.columns, "file", "action_order", "is_blocked", "has_blocked", "group_total", "block_reason")
+    )
+
+
 def block_reason(reviews: DataFrame, owner: str | None = None, by_owner: bool = False) -> DataFrame:
     """Blocking with its reason.
 
     Blocking looks at the whole queue, the reason only at rows the viewer sees: all rows,
     those of one owner, or (``by_owner``) for every row those of its own owner.
     """
+    if not by_owner:
+        return _blocking(reviews, owner).drop("has_blocked", "group_total")
     rows = is_blocked(reviews)
-    visible = rows if owner is None else rows.filter(F.col("owner") == owner)
-    keys = ["file", "owner"] if by_owner else ["file"]
-    first = visible.groupBy(*keys).agg(
-        F.min(F.struct("action_order", "created_at", "id", "action_type")).alias("_first")
-    )
-    blocker = F.when(
-        F.col("is_blocked") & (F.col("_first.action_order") < F.col("action_order")),
-        F.concat(F.lit("Complete '"), F.col("_first.action_type"), F.lit("' first")),
-    )
-    return visible.join(first, keys).select(*rows.columns, F.coalesce(blocker, F.lit("")).alias("block_reason"))
+    first = rows.groupBy("file", "owner").agg(F.min("action_order").alias("_first"))
+    return rows.join(first, ["file", "owner"]).withColumn("block_reason", _reason(F.col("_first"))).drop("_first")
 
 
 def pending_sorted(reviews: DataFrame, owner: str | None = None) -> DataFrame:
@@ -83,7 +109,7 @@ def group_counts(reviews: DataFrame, owner: str | None = None) -> DataFrame:
     """
     per_order = (
         with_file(reviews)
-        .withColumn("_seen", F.lit(True) if owner is None else F.coalesce(F.col("owner") == owner, F.lit(False)))
+        .withColumn("_seen", _visible(owner))
         .groupBy("file", "action_order")
         .agg(F.count_if("_seen").alias("n"))
     )
@@ -105,10 +131,8 @@ def pending_grouped(reviews: DataFrame, owner: str | None = None) -> DataFrame:
     One row per review with its group's columns, in display order: a file's list may be
     of any length, so it is not packed into a single row.
     """
-    rows = block_reason(reviews, owner)
-    groups = rows.groupBy("file").agg(F.bool_or("is_blocked").alias("has_blocked"), F.count(F.lit(1)).alias("group_total"))
     return (
-        rows.join(groups, "file")
+        _blocking(reviews, owner)
         .withColumn("file_name", text.file_name(F.col("file")))
         .orderBy("has_blocked", "file", "action_order", "created_at", "id")
     )

@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a small table whose files hold too few splits to occupy all cores.
+
+    A table that already has as many scan partitions as the session runs tasks is left
+    alone, so large inputs are never shuffled by this.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+
+
 def rank_within(
     df: DataFrame, keys: list[str], order_by: list[Column], slot: Column, name: str = "position"
 ) -> DataFrame:

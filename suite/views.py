@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import rules, text
+from codeloom.operators.skew import spread
 from codeloom.session import tune
 
 QUEUE_TYPES = [
@@ -37,7 +38,7 @@ class Tables:
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.table("documents").select(
+        return spread(self.table("documents"), "doc_id").select(
             F.col("source").alias("repo"),
             F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"),
             F.col("text").alias("content"),
@@ -61,7 +62,7 @@ class Tables:
     def queue(self) -> DataFrame:
         key = F.col("l_orderkey").cast("string")
         action = F.get(F.array(*[F.lit(a) for a in QUEUE_TYPES]), F.col("l_linenumber") - 1)
-        return self.table("lineitem").select(
+        return spread(self.table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey").select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
             action.alias("action_type"),
             F.concat(key, F.lit("@part:"), F.col("l_partkey").cast("string")).alias("target"),
@@ -128,7 +129,7 @@ class Tables:
         content = F.when(k % 97 == 0, line("def broken_{k}(:\n")).otherwise(module)
         repo = F.concat(F.lit("r"), (k % 10).cast("string"))
         # Rows are spread while they are narrow, before text is made of them.
-        parts = self.table("part").repartition(self.spark.sparkContext.defaultParallelism, "p_partkey")
+        parts = spread(self.table("part"), "p_partkey")
         return parts.select(
             repo.alias("repo"), F.concat(repo, F.lit("/m"), k.cast("string"), F.lit(".py")).alias("path"),
             content.alias("content"),
