@@ -82,7 +82,9 @@ def interval_join(
 def sessionise(
     events: DataFrame, key: str, ts: str, order_id: str, gap_seconds: int, chunk_seconds: int = 86400
 ) -> DataFrame:
-    """Add ``session_start`` per key: a new session begins after a pause of ``gap_seconds``.
+    """Add ``session_start`` per key: a new session begins after a pause longer than ``gap_seconds``.
+
+    A pause of exactly the gap goes on with the session, as in ``session_window``.
 
     Rows are ordered inside (key, time chunk).  What a chunk has to know about earlier
     ones - their last event and their last session start - is one row per chunk.
@@ -100,14 +102,14 @@ def sessionise(
     prev = F.lag("_us").over(in_chunk)
     local = rows.withColumn("_prev", prev).withColumn(
         "_local_start",
-        F.when(F.col("_prev").isNotNull() & (F.col("_us") - F.col("_prev") >= gap_seconds * 1_000_000), F.col("_us")),
+        F.when(F.col("_prev").isNotNull() & (F.col("_us") - F.col("_prev") > gap_seconds * 1_000_000), F.col("_us")),
     )
     chunks = rows_summary(rows, key, gap_seconds)
     carried = (
         chunks.withColumn("_before", F.lag("_last").over(per_chunk))
         .withColumn(
             "_opens",
-            F.col("_before").isNull() | (F.col("_first") - F.col("_before") >= gap_seconds * 1_000_000),
+            F.col("_before").isNull() | (F.col("_first") - F.col("_before") > gap_seconds * 1_000_000),
         )
         .withColumn("_final_start", F.coalesce("_inner_start", F.when(F.col("_opens"), F.col("_first"))))
         .withColumn("_open_start", F.last("_final_start", ignorenulls=True).over(earlier))
@@ -137,6 +139,6 @@ def rows_summary(rows: DataFrame, key: str, gap_seconds: int) -> DataFrame:
         .agg(
             F.min("_us").alias("_first"),
             F.max("_us").alias("_last"),
-            F.max(F.when(F.col("_us") - F.col("_prev") >= gap_seconds * 1_000_000, F.col("_us"))).alias("_inner_start"),
+            F.max(F.when(F.col("_us") - F.col("_prev") > gap_seconds * 1_000_000, F.col("_us"))).alias("_inner_start"),
         )
     )

@@ -47,7 +47,7 @@ def watched(events: DataFrame, projects: DataFrame) -> DataFrame:
 def debounce(events: DataFrame, gap: str = vocab.DEBOUNCE, lateness: str = "1 minute") -> DataFrame:
     """One row per project and burst of changes, emitted once the burst is over.
 
-    For streams.  A burst ends after a pause of ``gap``; later rows than the watermark
+    For streams.  A burst ends after a pause longer than ``gap``; later rows than the watermark
     allows are dropped.
     """
     return (

@@ -277,7 +277,7 @@ def dashboard(t):
 
 # ------------------------------------------------------------------ change events
 _SESSIONS = f"""
-    marked AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL {GAP_SECONDS} SECOND THEN 1 ELSE 0 END AS opens
+    marked AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL {GAP_SECONDS} SECOND THEN 1 ELSE 0 END AS opens
                FROM file_events WHERE kind <> 'deleted' WINDOW w AS (PARTITION BY project_id ORDER BY ts, event_id)),
     numbered AS (SELECT *, sum(opens) OVER (PARTITION BY project_id ORDER BY ts, event_id) AS s FROM marked),
     sessions AS (SELECT project_id, s, min(ts) AS session_start, max(ts) + INTERVAL {GAP_SECONDS} SECOND AS fires_at,
