@@ -118,10 +118,13 @@ def plan_edits(actions: DataFrame, latest: DataFrame, files: DataFrame) -> DataF
     rows = rows.withColumn("text", F.when(by_line, F.col("at_line")).otherwise(symbol["line_text"]))
     name = F.col("entity_name")
     quoted = F.concat(F.lit("'"), name, F.lit("'"))
-    cut = text.without_import(F.col("text"), name)
+    # Costly parts become columns of their own; they are used several times below.
+    rows = rows.withColumn("_cut", text.let(text.without_import(F.col("text"), name), lambda c: c))
+    rows = rows.withColumn("_c", text.parse_credential(F.col("text")))
+    rows = rows.withColumn("_fix", text.rewritten_line(F.col("text")))
+    cut = F.col("_cut")
     shown = text.strip(F.col("text"))
     first = F.col("line") - F.col("function.blank_before").cast("int")
-    rows = rows.withColumn("_c", text.parse_credential(F.col("text")))
     credential = F.col("_c")
     error = (
         F.when(F.col("known").isNull(), F.concat(F.lit("Cannot load "), F.col("path")))
@@ -166,7 +169,7 @@ def plan_edits(actions: DataFrame, latest: DataFrame, files: DataFrame) -> DataF
         F.when((kind == "delete_import") & cut["whole_line"], no_lines)
         .when(kind == "delete_import", F.array(cut["new_line"]))
         .when(kind == "delete_function", no_lines)
-        .when((kind == "fix_security") & ~text.uses_environment(F.col("text")), text.rewritten_line(F.col("text"))["new_lines"])
+        .when((kind == "fix_security") & ~text.uses_environment(F.col("text")), F.col("_fix.new_lines"))
     )
     ok = error.isNull()
     return rows.select(

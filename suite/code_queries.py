@@ -407,5 +407,5 @@ def removed_imports(t):
     FROM code_actions a JOIN code c ON c.k = a.k""")
 def plan_edits(t):
     _, actions, index = _actions(t)
-    plan = edits.plan_edits(actions, index.latest, t.code)
+    plan = edits.plan_edits(materialise(actions), index.latest, t.code)
     return plan.select(text.encode_target(F.col("path"), F.col("entity_type"), F.col("entity_name")).alias("target"), "message", "error")

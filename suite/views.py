@@ -46,9 +46,13 @@ class Tables:
 
     @cached_property
     def decisions(self) -> DataFrame:
+        return self.decisions_of(self.table("orders"))
+
+    @staticmethod
+    def decisions_of(orders: DataFrame) -> DataFrame:
         position = F.substring("o_orderpriority", 1, 1).cast("int")
         action = F.get(F.array(*[F.lit(a) for a in QUEUE_TYPES]), position - 1)
-        return self.table("orders").select(
+        return orders.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("reviewer"),
             action.alias("action_type"),
@@ -60,9 +64,13 @@ class Tables:
 
     @cached_property
     def queue(self) -> DataFrame:
+        return self.queue_of(spread(self.table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey"))
+
+    @staticmethod
+    def queue_of(lineitem: DataFrame) -> DataFrame:
         key = F.col("l_orderkey").cast("string")
         action = F.get(F.array(*[F.lit(a) for a in QUEUE_TYPES]), F.col("l_linenumber") - 1)
-        return spread(self.table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey").select(
+        return lineitem.select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
             action.alias("action_type"),
             F.concat(key, F.lit("@part:"), F.col("l_partkey").cast("string")).alias("target"),
