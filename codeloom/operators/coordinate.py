@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import rules, text, vocab
 from codeloom.operators import graph
 from codeloom.operators.skew import rank_within
+from codeloom.operators.totals import side_by_side
 
 
 def extract_entity(findings: DataFrame, latest: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -196,8 +197,7 @@ def execution_order(actions: DataFrame, lines_per_slot: int = 4096) -> DataFrame
 
 def merge_stats(findings: DataFrame, actions: DataFrame) -> DataFrame:
     """How many findings became how many actions."""
-    return (
-        findings.agg(F.count(F.lit(1)).alias("findings"))
-        .crossJoin(actions.agg(F.count(F.lit(1)).alias("actions")))
-        .withColumn("merged", F.col("findings") - F.col("actions"))
+    both = side_by_side(
+        findings.agg(F.count(F.lit(1)).alias("findings")), actions.agg(F.count(F.lit(1)).alias("actions"))
     )
+    return both.withColumn("merged", F.col("findings") - F.col("actions"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import rules, text, vocab
-from codeloom.operators import scan
 from codeloom.operators.skew import interval_join
 
 IN_ROW_NAMES = 1000  # longer importer lists stay in the edge table, see ``importer_lists``

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.functions import rules, text, vocab
+from codeloom.operators.queue import queue_stats
+from codeloom.operators.totals import side_by_side
 from codeloom.sources.tables import flag_filter, optional_eq
 
 
@@ -258,17 +259,11 @@ def tool_call_stats(calls: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ dashboard
 def dashboard(reviews: DataFrame, decisions: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row of queue totals, decision totals and the session count."""
-    from codeloom.operators.queue import queue_stats
-
     def prefixed(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
-    return (
-        prefixed(queue_stats(reviews), "queue_")
-        .crossJoin(prefixed(action_stats(decisions, by=None), "actions_"))
-        .crossJoin(sessions.agg(F.count(F.lit(1)).alias("total_sessions")))
+    return side_by_side(
+        prefixed(queue_stats(reviews), "queue_"),
+        prefixed(action_stats(decisions, by=None), "actions_"),
+        sessions.agg(F.count(F.lit(1)).alias("total_sessions")),
     )
-
-
-def event_json(props: Column, schema: T.StructType | str) -> Column:
-    return F.from_json(props, schema)

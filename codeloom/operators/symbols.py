@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions import rules, text, vocab
 from codeloom.functions.pyast import symbol_rows
+from codeloom.operators.totals import side_by_side
 from codeloom.schemas import SYMBOLS
 
 BUCKETS = ["function", "class", "import", "assignment", "statement"]
@@ -246,11 +247,11 @@ def has_import(latest: DataFrame, name: str) -> DataFrame:
 def index_summary(defs: DataFrame, usages: DataFrame, edges: DataFrame, inits: DataFrame, approx: bool = False) -> DataFrame:
     """Corpus totals: defined names, used names, import edges, init exports."""
     distinct = F.approx_count_distinct if approx else F.count_distinct
-    return (
-        defs.agg(distinct("name").alias("defined_symbols"))
-        .crossJoin(usages.agg(distinct("name").alias("symbols_with_usage")))
-        .crossJoin(edges.agg(F.count(F.lit(1)).alias("import_edges")))
-        .crossJoin(inits.agg(F.count(F.lit(1)).alias("init_exports")))
+    return side_by_side(
+        defs.agg(distinct("name").alias("defined_symbols")),
+        usages.agg(distinct("name").alias("symbols_with_usage")),
+        edges.agg(F.count(F.lit(1)).alias("import_edges")),
+        inits.agg(F.count(F.lit(1)).alias("init_exports")),
     )
 
 
