@@ -47,7 +47,7 @@ def entity_of(statement: Column) -> Column:
     def any_text(word: str) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(word)) for t in texts])
 
-    # The reference number stands for an unknown line as the word None.
+    # An unknown line is shown as the word None.
     shown_line = F.coalesce(line, F.lit("None"))
     on_line = lambda kind, bucket: entity(kind, F.col(f"line_{bucket}"))
     method = (hint == "method") & (action == "refactor_code")

@@ -26,7 +26,8 @@ def rank_within(
 ) -> DataFrame:
     """Exact ``row_number`` per key without bringing a key into one task.
 
-    ``slot`` must not decrease along ``order_by``.
+    ``slot`` must not decrease along ``order_by``.  It should be coarse: a key's slots are
+    counted in one task, its rows never are.
     """
     slotted = df.withColumn("_slot", slot)
     sizes = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
