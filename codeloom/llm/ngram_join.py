@@ -262,7 +262,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """
     found = linked_components(docs).filter("n_shingles > 0").select(F.col("doc_id").alias("dup_id"), "component_id", "node")
     verdicts = written(found.groupBy("dup_id").agg(
-        F.max(F.col("component_id") <> F.col("dup_id")).alias("gone"), (F.count("*") > F.countDistinct("node")).alias("again"),
+        F.max(F.col("component_id") != F.col("dup_id")).alias("gone"), (F.count("*") > F.countDistinct("node")).alias("again"),
     ).filter("gone or again"), "verdicts")
     same = F.col("doc_id") == F.col("dup_id")
     kept = docs.join(verdicts.filter("gone").select("dup_id"), same, "left_anti")
