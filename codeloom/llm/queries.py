@@ -116,8 +116,8 @@ WITH base AS (
 ), marked AS (
     SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
 ), covered AS (
-    SELECT doc_id, count(DISTINCT at) AS n_repeat_words
-    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at FROM marked) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM marked) GROUP BY doc_id
 ), counted AS (
     SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
