@@ -97,7 +97,7 @@ def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = int(often.sum())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[often].astype(np.int64)),
-                "node": as_long(shingles[often]), "is_doc": pa.array([False] * k),
+                "node": as_long(shingles[often]), "is_doc": pa.array([False] * k, pa.bool_()),
             })
 
 

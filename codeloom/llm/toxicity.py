@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from codeloom.llm.common import id_remainder, pieces, text_or_empty, tune, words_column, written
 
@@ -218,10 +219,16 @@ def scored(model: Model):
     return run
 
 
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with tox_score and tox_hits added."""
+    added = [StructField("tox_score", DoubleType()), StructField("tox_hits", LongType())]
+    return docs.mapInArrow(scored(model), StructType(docs.schema.fields + added))
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), n_hits and predicted (1 from ``THRESHOLD`` on)."""
     tune(docs.sparkSession)
-    rows = docs.select("doc_id", "text").mapInArrow(scored(model), docs.select("doc_id", "text").schema.add("tox_score", "double").add("tox_hits", "long"))
+    rows = with_scores(docs.select("doc_id", "text"), model)
     score = F.col("tox_score")
     return rows.select("doc_id", score.alias("score"), F.col("tox_hits").alias("n_hits"), (score >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -229,5 +236,4 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the toxic ones; each row is judged by its own text."""
     tune(docs.sparkSession)
-    schema = docs.schema.add("tox_score", "double").add("tox_hits", "long")
-    return docs.mapInArrow(scored(model), schema).filter(F.col("tox_score") < THRESHOLD).drop("tox_score", "tox_hits")
+    return with_scores(docs, model).filter(F.col("tox_score") < THRESHOLD).drop("tox_score", "tox_hits")
