@@ -41,7 +41,7 @@ LIGHT_LIMIT = 10
 # Shingles known to be frequent come last in every set; only speed depends on them.
 FREQUENT = 1 << 16
 FREQUENT_IN_PIECE = 4
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 
 
 def needed(n: int, m: int) -> int:
@@ -179,8 +179,13 @@ def may_link(n: str, at: str, m: str, to: str):
     return sizes & ((100 + PERCENT) * left >= PERCENT * (a + b))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link; only texts of the classes in question are read again."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(classes, "node").select(F.col("first_id").alias("wanted_id")).distinct()
+    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    sets = chosen.mapInArrow(set_rows, "node long, elements array<long>").filter("node is not null")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
     both = pairs.join(one, "a").join(two, "b")
@@ -209,11 +214,6 @@ def linked_components(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     listed = written(entries.join(shared, "key").distinct(), "listed")
 
-    wanted = listed.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("wanted_id"), F.lit(True).alias("is_wanted")).distinct()
-    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = chosen.mapInArrow(set_rows, "node long, elements array<long>").filter("node is not null")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
-
     links, tried, roots = None, None, None
     for k in range(LEADER_ROUNDS + 1):
         current = listed if roots is None else listed.join(roots, "node", "left")
@@ -240,7 +240,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        new = written(verified(pairs, sets), "links")
+        new = written(verified(pairs, classes, texts), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         if k < LEADER_ROUNDS or not new.isEmpty():
