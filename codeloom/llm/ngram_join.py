@@ -42,6 +42,8 @@ LIGHT_LIMIT = 10
 FREQUENT = 1 << 16
 FREQUENT_IN_PIECE = 4
 LEADER_ROUNDS = 1
+# Ids of classes to verify are broadcast up to this count (8 MB), and shuffled beyond it.
+BROADCAST_IDS = 1_000_000
 
 
 def needed(n: int, m: int) -> int:
@@ -183,9 +185,11 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     """The pairs (a, b) of classes whose sets link; only texts of the classes in question are read again."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(classes, "node").select(F.col("first_id").alias("wanted_id")).distinct()
+    wanted = written(wanted, "wanted")
+    # Few ids are sent to the texts; many meet them in a shuffle.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = chosen.mapInArrow(set_rows, "node long, elements array<long>").filter("node is not null")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    sets = written(chosen.mapInArrow(set_rows, "node long, elements array<long>").filter("node is not null"), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
     both = pairs.join(one, "a").join(two, "b")
