@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Words, as_long, lists, mixed, pieces, tune, written
@@ -152,13 +152,26 @@ def postings(frequent: np.ndarray, light: int):
 def set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         sets = list(sets_of(batch))
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        prints = [fingerprint(s) for s in sets]
+        ends = lambda arrays: np.concatenate([[0], np.cumsum([len(x) for x in arrays])])
         yield pa.RecordBatch.from_pydict({
             "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-            "elements": lists(np.concatenate(sets).view(np.int64), offsets, pa.int64()),
+            "elements": lists(np.concatenate(sets).view(np.int64), ends(sets), pa.int64()),
+            "print": lists(np.concatenate(prints), ends(prints), pa.int64()),
         })
 
 
+def fingerprint(elements: np.ndarray) -> np.ndarray:
+    """A bit per hash slot: whether an odd number of elements falls in it; about four slots an element.
+
+    Two prints differ in no more bits than their sets differ in elements.  Halves added bit
+    by bit give the print of half as many slots.
+    """
+    slots = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def boundary(sizes: dict[int, int], list_length: float) -> int:
     """The light limit of least cost: rows written plus rows met in the lists."""
     def cost(light: int) -> float:
@@ -189,13 +202,26 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     # Few ids are sent to the texts; many meet them in a shuffle.
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = written(chosen.mapInArrow(set_rows, "node long, elements array<long>").filter("node is not null"), "sets")
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
-    both = pairs.join(one, "a").join(two, "b")
+    sets = written(chosen.mapInArrow(set_rows, "node long, elements array<long>, print array<long>").filter("node is not null"), "sets")
+    def with_both(some: DataFrame, column: str) -> DataFrame:
+        one = sets.select(F.col("node").alias("a"), F.col(column).alias("left"), F.size("elements").alias("n"))
+        two = sets.select(F.col("node").alias("b"), F.col(column).alias("right"), F.size("elements").alias("m"))
+        return some.join(one, "a").join(two, "b")
+
+    def halved(bits: str, other: str) -> Column:
+        half = F.floor(F.size(bits) / 2).cast("int")
+        folded = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > F.size(other), folded).otherwise(F.col(bits))
+
+    # Sizes differ by a third at most, so one halving brings two prints to one length.
+    differ = F.aggregate(
+        F.zip_with(halved("left", "right"), halved("right", "left"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0), lambda total, x: total + x,
+    )
+    most = F.col("n") + F.col("m") - 2 * F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    likely = written(with_both(pairs, "print").filter(differ <= most).select("a", "b"), "likely")
     shared = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - shared
-    return both.filter(100 * shared >= PERCENT * union).select("a", "b")
+    return with_both(likely, "elements").filter(100 * shared >= PERCENT * (F.col("n") + F.col("m") - shared)).select("a", "b")
 
 
 def ordered_pairs(df: DataFrame) -> DataFrame:
