@@ -40,7 +40,7 @@ PERCENT = 75
 LIGHT_LIMIT = 10
 # Shingles known to be frequent come last in every set; only speed depends on them.
 FREQUENT = 1 << 16
-FREQUENT_IN_PIECE = 4
+FREQUENT_IN_PIECE, COUNTED_TOGETHER = 4, 4_000_000
 LEADER_ROUNDS = 1
 # Ids of classes to verify are broadcast up to this count (8 MB), and shuffled beyond it.
 BROADCAST_IDS = 1_000_000
@@ -84,7 +84,8 @@ def node_of(elements: np.ndarray) -> int:
 
 
 def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its set's size and class; per piece of input its frequent shingles."""
+    """Per document its set's size and class; per some millions of shingles the frequent ones."""
+    met, held = set(), []
     for batch in pieces(batches):
         sets = list(sets_of(batch))
         nodes = [node_of(s) if len(s) else None for s in sets]
@@ -92,15 +93,26 @@ def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "doc_id": batch.column("doc_id").cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
             "node": pa.array(nodes, pa.int64()), "is_doc": pa.array([True] * len(sets)),
         })
-        distinct = {node: s for node, s in zip(nodes, sets) if node is not None}
-        if distinct:
-            shingles, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-            often = counts >= FREQUENT_IN_PIECE
-            k = int(often.sum())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[often].astype(np.int64)),
-                "node": as_long(shingles[often]), "is_doc": pa.array([False] * k, pa.bool_()),
-            })
+        for node, s in zip(nodes, sets):
+            if node is not None and node not in met:
+                met.add(node)
+                held.append(s)
+        if sum(map(len, held)) >= COUNTED_TOGETHER:
+            yield often_in(held)
+            met, held = set(), []
+    if held:
+        yield often_in(held)
+
+
+def often_in(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Shingles that stand in FREQUENT_IN_PIECE of the sets or more."""
+    shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
+    often = counts >= FREQUENT_IN_PIECE
+    k = int(often.sum())
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[often].astype(np.int64)),
+        "node": as_long(shingles[often]), "is_doc": pa.array([False] * k, pa.bool_()),
+    })
 
 
 def postings(frequent: np.ndarray, light: int):
