@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,9 +33,9 @@ END_ID = 2
 PLANES = 16
 BLOCK_BITS = 512
 # A shard is closed at the first document end after so many ids.
-SHARD_TOKENS = 1 << 20
-# Encoded words a worker remembers; beyond that it starts over.
-CACHED_WORDS = 400_000
+SHARD_TOKENS = 1 << 18
+# Encoded words, and runs of letters in them, that a worker remembers; later ones are encoded each time.
+CACHED_WORDS = 600_000
 SCHEMA = (
     "part int, shard int, plane int, n_tokens long, zeros long, bits binary, ones binary, "
     "doc_ids array<long>, lengths array<long>"
@@ -58,6 +59,7 @@ class WordEncoder(dict):
         self.model = self.whole.model
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in set(keep)]
+        self.runs: dict[str, list[int]] = {}
         self.shown = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
     @classmethod
@@ -67,7 +69,12 @@ class WordEncoder(dict):
         return cls._made[path]
 
     def _run(self, run: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([self.shown[b] for b in run.encode()]))]
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize("".join([self.shown[b] for b in run.encode()]))]
+            if len(self.runs) < CACHED_WORDS:
+                self.runs[run] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
@@ -77,12 +84,10 @@ class WordEncoder(dict):
             ids = self._run(letters.lower()) + (self._run(marks) if marks else [])
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        if len(word) < 64:
-            self[word] = (out := np.array(ids, dtype="<u4").tobytes())
-            return out
-        return np.array(ids, dtype="<u4").tobytes()
+        out = array("I", ids).tobytes()
+        if len(word) < 64 and len(self) < CACHED_WORDS:
+            self[word] = out
+        return out
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
@@ -159,7 +164,7 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order, plane by plane."""
-        order = np.arange(self.n)
+        order = np.arange(self.n, dtype=np.int32)
         ids = np.zeros(self.n, dtype=np.uint32)
         for bits, _, _ in self.planes:
             plane = np.unpackbits(bits)[:self.n].astype(bool)
