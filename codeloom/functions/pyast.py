@@ -50,8 +50,12 @@ def _bound_names(target: ast.expr, kind: str = "assign"):
             yield from _bound_names(part, kind)
 
 
-def _short(node: ast.AST) -> str:
-    shown = ast.unparse(node)
+def _short(node: ast.AST) -> str | None:
+    """A preview of an expression; null where it is nested too deeply to be written out."""
+    try:
+        shown = ast.unparse(node)
+    except (RecursionError, MemoryError):
+        return None
     return shown[: vocab.PREVIEW_CHARS] + ("…" if len(shown) > vocab.PREVIEW_CHARS else "")
 
 
@@ -117,12 +121,15 @@ def _module_statement(node: ast.stmt):
 
 
 def symbol_rows(content: str | None) -> list[dict]:
-    """Flat rows of one file in walk order; a file that does not parse gives one error row."""
+    """Flat rows of one file in walk order; a file that cannot be read gives one error row."""
     try:
-        tree = ast.parse(content or "")
-    except (SyntaxError, ValueError, RecursionError) as problem:
+        return _rows_of((content or "").replace("\r\n", "\n").replace("\r", "\n"))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
         return [dict(bucket="error", kind="error", walk_ord=0, error=str(problem))]
-    text = content or ""
+
+
+def _rows_of(text: str) -> list[dict]:
+    tree = ast.parse(text)
     calls = Counter(_CALL.findall(text))
     rows = [dict(bucket="module", kind="module", start_line=1, doc_len=_doc_length(tree))]
     owner: dict[int, ast.AST] = {}

@@ -71,7 +71,8 @@ def route(
 
     ``mode='pipeline'``: an override sends everything to auto.  ``mode='task'``: an action
     that needs no review still waits in the queue unless auto_approve is set.
-    ``rates`` has one row per (action type, risk) context: at most 36, so it is broadcast.
+    ``rates`` is cut to one row per (action type, risk) context, the highest rate where there
+    are more: at most 36, so it is broadcast.
     """
     rows = actions.withColumn("effective_risk", rules.effective_risk(F.col("risk_level"), F.col("sub_actions")))
     rows = rows.withColumn("context_hash", text.context_hash(F.col("action_type"), F.col("risk_level")))
@@ -79,7 +80,7 @@ def route(
         rows = rows.withColumn("rejection_rate", F.lit(None).cast("double"))
     else:
         known = rates.join(context_keys(rates), ["action_type", "context_hash"], "left_semi")
-        small = known.select("action_type", "context_hash", "rejection_rate")
+        small = known.groupBy("action_type", "context_hash").agg(F.max("rejection_rate").alias("rejection_rate"))
         rows = rows.join(F.broadcast(small), ["action_type", "context_hash"], "left")
     rows = rows.withColumn("_d", needs_review(threshold))
     if mode == "task":
