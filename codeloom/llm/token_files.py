@@ -40,8 +40,8 @@ SCHEMA = (
     "part int, shard int, plane int, n_tokens long, zeros long, bits binary, ones binary, "
     "doc_ids array<long>, lengths array<long>"
 )
-# A word of plain letters with closing marks is encoded by its two runs.
-PLAIN = re.compile("([A-Za-zß-öø-ÿ]+)([.,;:!?]*)")
+# A word of plain letters with closing marks (no apostrophes) is encoded by its two runs.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 class WordEncoder(dict):
@@ -97,11 +97,12 @@ def build_planes(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(packed bits, ones before each block, zeros) of the planes from the highest bit down."""
     out = []
     for k in range(PLANES - 1, -1, -1):
-        bits = (ids >> k & 1).astype(bool)
+        bits = (ids & (1 << k)).astype(bool)
         packed = np.packbits(bits)
-        per_block = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK_BITS), dtype=np.int64) if len(bits) else np.empty(0, np.int64)
+        per_byte = np.bitwise_count(packed)
+        per_block = np.add.reduceat(per_byte, np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.int64) if len(bits) else np.empty(0, np.int64)
         ones = np.concatenate([[0], np.cumsum(per_block)]).astype("<u4")
-        out.append((packed, ones, int(len(bits) - bits.sum())))
+        out.append((packed, ones, len(bits) - int(ones[-1])))
         ids = np.concatenate([ids[~bits], ids[bits]])
     return out
 
@@ -163,14 +164,16 @@ class WaveletMatrix:
         return first + int(np.flatnonzero(part == bit)[nth - int(before[block])])
 
     def decode(self) -> np.ndarray:
-        """All ids in order, plane by plane."""
-        order = np.arange(self.n, dtype=np.int32)
-        ids = np.zeros(self.n, dtype=np.uint32)
-        for bits, _, _ in self.planes:
-            plane = np.unpackbits(bits)[:self.n].astype(bool)
-            ids[order] = ids[order] << np.uint32(1) | plane
-            order = np.concatenate([order[~plane], order[plane]])
-        return ids
+        """All ids in order: from the lowest plane up, each undoes its plane's order."""
+        ids = np.zeros(self.n, dtype=np.uint16)
+        for k in range(PLANES - 1, -1, -1):
+            bits, _, zeros = self.planes[k]
+            plane = np.unpackbits(bits, count=self.n).view(bool)
+            before = np.empty(self.n, dtype=np.uint16)
+            before[~plane] = ids[:zeros]
+            before[plane] = ids[zeros:] | np.uint16(1 << (PLANES - 1 - k))
+            ids = before
+        return ids.astype(np.uint32)
 
 
 def shard_rows(part: int, shard: int, doc_ids: list, texts: list[bytes]) -> Iterator[dict]:
