@@ -99,49 +99,59 @@ def reindent(block: Column, width: int) -> Column:
 
 def collapse_blanks(lines: Column) -> Column:
     """Keep the first line of every run of blank lines."""
-    return F.filter(
-        lines, lambda x, i: ~(is_blank(x) & (i > 0) & is_blank(F.coalesce(F.get(lines, i - 1), F.lit("x"))))
-    )
+    return let(lines, lambda rows: F.filter(
+        rows, lambda x, i: ~(is_blank(x) & (i > 0) & is_blank(F.coalesce(F.get(rows, i - 1), F.lit("x"))))
+    ))
+
+
+def running_max(numbers: Column, block: int = 128) -> Column:
+    """For each place the largest of the numbers before it, 0 if none.
+
+    Whole blocks before a place are looked up; only its own block is searched.
+    """
+    def largest(values, start, size):
+        return F.coalesce(F.array_max(F.slice(values, start, size)), F.lit(0))
+
+    def over(values):
+        n_blocks = F.ceil(F.size(values) / block).cast("int")
+        tops = F.transform(F.sequence(F.lit(0), n_blocks), lambda j: largest(values, j * block + 1, F.lit(block)))
+        before = let(tops, lambda t: F.transform(t, lambda x, j: largest(t, F.lit(1), j)))
+        return let(before, lambda b: F.transform(values, lambda x, i: F.greatest(
+            F.get(b, F.floor(i / block).cast("int")), largest(values, i - i % block + 1, i % block)
+        )))
+
+    return let(numbers, over)
 
 
 def first_line_matching(content: Column, hint: Column, start: Column, skip_blank: bool = True) -> Column:
     """First line number >= ``start`` where the hint is inside the line or the reverse."""
-    lines = lines_of(content)
-    wanted = strip(hint)
+    def search(lines, wanted):
+        def hit(i):
+            return let(strip(F.get(lines, i - 1)), lambda text: (
+                (F.contains(text, wanted) | F.contains(wanted, text)) & ((F.length(text) > 0) if skip_blank else F.lit(True))
+            ))
 
-    def hit(i):
-        text = strip(F.get(lines, i - 1))
-        inside = F.contains(text, wanted) | F.contains(wanted, text)
-        return inside & (F.length(text) > 0) if skip_blank else inside
+        span = F.when(start <= F.size(lines), F.sequence(start, F.size(lines)))
+        return F.when(F.length(wanted) > 0, F.get(F.filter(span, hit), F.lit(0)))
 
-    span = F.when(start <= F.size(lines), F.sequence(start, F.size(lines)))
-    return F.when(F.length(wanted) > 0, F.get(F.filter(span, hit), F.lit(0)))
+    return let(lines_of(content), lambda lines: let(strip(hint), lambda wanted: search(lines, wanted)))
 
 
 # ------------------------------------------------------------------ patterns
 def matches_with_lines(content: Column, pattern: str) -> Column:
     """array<struct<k, match, line>> of every match over the whole text.
 
-    A match may span lines; its line is the one where it starts.  The newlines of
-    the pieces between matches and of the matches before it give the number.
+    A match may span lines; its line is the one where it starts.  One more character is
+    put before each match, so a line has grown by the number of matches that start in it.
     """
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    pieces = F.split(content, pattern, -1)
-    piece_nl = F.transform(pieces, newline_count)
-    found_nl = F.transform(found, newline_count)
-
-    def total(numbers, upto):
-        return F.aggregate(F.slice(numbers, F.lit(1), upto), F.lit(0), lambda acc, x: acc + x)
-
-    rows = F.transform(
-        found,
-        lambda m, k: F.struct(
-            k.alias("k"),
-            m.alias("match"),
-            (total(piece_nl, k + 1) + total(found_nl, k) + 1).alias("line"),
-        ),
-    )
-    # The pieces are only split where something matched at all.
+    marked = F.split(F.regexp_replace(content, F.lit(pattern), F.lit("|$0")), "\n", -1)
+    grown = F.zip_with(marked, F.split(content, "\n", -1), lambda long, short: F.length(long) - F.length(short))
+    starts = F.flatten(F.transform(grown, lambda n, i: F.array_repeat(i + 1, n)))
+    rows = let(starts, lambda at: F.transform(
+        found, lambda m, k: F.struct(k.alias("k"), m.alias("match"), F.get(at, k).alias("line"))
+    ))
+    # Lines are only split where something matched at all.
     return F.when(F.regexp_like(content, F.lit(pattern)), rows)
 
 

@@ -30,19 +30,17 @@ def apply_line_edits(files: DataFrame, edits: DataFrame, collapse: bool = False)
     prepared = prepared.withColumn("_edits", F.coalesce(valid, F.array())).withColumn(
         "_ends", F.transform("_edits", lambda e: e["end"])
     )
-
-    def reach(i):
-        """Last input line that edits before number ``i`` have consumed."""
-        return F.coalesce(F.array_max(F.slice("_ends", F.lit(1), i)), F.lit(0))
+    # The last input line that the edits before each one have consumed.
+    prepared = prepared.withColumn("_reached", text.running_max(F.col("_ends")))
 
     def untouched(start, stop):
         return F.slice("_lines", start, F.greatest(stop - start + 1, F.lit(0)))
 
     pieces = F.transform(
-        "_edits", lambda e, i: F.concat(untouched(reach(i) + 1, e["start"] - 1), e["new_lines"])
+        "_edits", lambda e, i: F.concat(untouched(F.get("_reached", i) + 1, e["start"] - 1), e["new_lines"])
     )
     count = F.size("_edits")
-    edited = F.concat(F.flatten(pieces), untouched(reach(count) + 1, F.size("_lines")))
+    edited = F.concat(F.flatten(pieces), untouched(F.coalesce(F.array_max("_ends"), F.lit(0)) + 1, F.size("_lines")))
     if collapse:
         edited = text.collapse_blanks(edited)
     content = F.when(count == 0, F.col("content")).otherwise(text.join_lines(edited))
@@ -53,9 +51,10 @@ def rejected_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits whose lines do not exist in the file, or whose file does not exist."""
     size = text.line_count(F.col("content"))
     bad = (
-        F.col("content").isNull() | (F.col("start") < 1) | (F.col("end") > size) | (F.col("start") > F.col("end") + 1)
+        ~F.coalesce("_known", F.lit(False)) | (F.col("start") < 1) | (F.col("end") > F.col("_size")) | (F.col("start") > F.col("end") + 1)
     )
-    return edits.join(files.select("path", "content"), "path", "left").filter(bad).select(*edits.columns)
+    sizes = files.select("path", F.col("content").isNotNull().alias("_known"), size.alias("_size"))
+    return edits.join(sizes, "path", "left").filter(bad).select(*edits.columns)
 
 
 def import_removals(imports: DataFrame, latest: DataFrame) -> DataFrame:

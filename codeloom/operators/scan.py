@@ -140,14 +140,17 @@ def rule_hits(files: DataFrame, rules: list[tuple], mask: bool = True, with_code
     found = F.flatten(F.array(*per_rule))
     if not with_code:
         return files.select("repo", "path", F.explode(found).alias("hit")).select("repo", "path", "hit.*").select(*columns)
-    lines = text.lines_of(content)
 
-    def with_text(hit):
+    def with_text(hit, lines):
         code = F.coalesce(F.get(lines, hit["line"] - 1), F.lit(""))
         return hit.withField("code", text.mask_quoted(code) if mask else code)
 
+    # Texts without a match are not split.
+    coded = text.let(found, lambda hits: F.when(F.size(hits) > 0, text.let(
+        text.lines_of(content), lambda lines: F.transform(hits, lambda hit: with_text(hit, lines))
+    )))
     return (
-        files.select("repo", "path", F.explode(F.transform(found, with_text)).alias("hit"))
+        files.select("repo", "path", F.explode(coded).alias("hit"))
         .select("repo", "path", "hit.*")
         .select(*columns, "code")
     )
