@@ -150,13 +150,9 @@ def from_documentation(issues: DataFrame, dead: DataFrame, latest: DataFrame) ->
 
 
 def from_large_files(large: DataFrame, importers: DataFrame, limit: int = vocab.LARGE_FILE_LINES) -> DataFrame:
-    """``importers`` comes from ``graph.importer_lists``."""
+    """``importers`` comes from ``graph.fan_in``; names are rows of ``graph.importers_of_file``."""
     rows = large.join(importers, "path", "left").withColumn("n", F.coalesce("n_importers", F.lit(0)))
-    listed = (
-        F.when(F.col("n") == 0, F.lit("none"))
-        .when(F.col("imported_by").isNull(), _join(F.col("n"), " files"))
-        .otherwise(F.array_join("imported_by", ", "))
-    )
+    listed = F.when(F.col("n") == 0, F.lit("none")).otherwise(_join(F.col("n"), " files"))
     loc = F.col("loc")
     return _finding(
         rows, "large_file", "structure", "restructure",
@@ -165,7 +161,7 @@ def from_large_files(large: DataFrame, importers: DataFrame, limit: int = vocab.
         reasoning=f"Files >{limit} LOC are harder to navigate and maintain",
         impact=_impact(
             breaking_changes=True, files_affected=F.col("n") + 1, test_impact="high", loc=loc,
-            imported_by=F.when(F.col("n") == 0, F.array().cast("array<string>")).otherwise(F.col("imported_by")),
+            n_importers=F.col("n"),
         ),
         fix=_join("Consider splitting into logical sub-modules. Imported by: ", listed),
         snippet=None, order=F.lit(0),

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from codeloom.functions import rules, text, vocab
 from codeloom.operators.skew import interval_join
 
-IN_ROW_NAMES = 1000  # longer importer lists stay in the edge table, see ``importer_lists``
-
 
 # ------------------------------------------------------------------ resolution
 def import_candidates(folder: Column, root: Column, module: Column) -> Column:
@@ -69,27 +67,10 @@ def importers_of_file(resolved: DataFrame) -> DataFrame:
 
 
 def fan_in(resolved: DataFrame) -> DataFrame:
-    """How many files import each file."""
+    """How many files import each file; their names are rows of ``importers_of_file``."""
     return importers_of_file(resolved).groupBy("path").agg(F.count(F.lit(1)).alias("n_importers"))
 
 
-def importer_lists(resolved: DataFrame, limit: int = IN_ROW_NAMES) -> DataFrame:
-    """Importer count per file, with the file names in one row where they are few.
-
-    A file that more than ``limit`` files import gets a null list; its importers are
-    all in ``importers_of_file``, one per row.
-    """
-    pairs = importers_of_file(resolved)
-    counts = pairs.groupBy("path").agg(F.count(F.lit(1)).alias("n_importers"))
-    few = counts.filter(F.col("n_importers") <= limit).select("path")
-    names = (
-        pairs.join(few, "path", "left_semi")
-        .groupBy("path")
-        .agg(F.sort_array(F.collect_list(text.file_name(F.col("importing_file")))).alias("imported_by"))
-    )
-    return counts.join(names, "path", "left")
-
-
 def importers_of_symbol(defs: DataFrame, resolved: DataFrame) -> DataFrame:
     """(path, name, importing_file): by name, and ``*`` rows for whole-module imports.
 
@@ -105,7 +86,10 @@ def importers_of_symbol(defs: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def importer_reasons(wanted: DataFrame, resolved: DataFrame) -> DataFrame:
-    """First importer and their number for each wanted (path, name), star imports included."""
+    """First importer and their number for each wanted (path, name), star imports included.
+
+    All of them are rows of ``importers_of_symbol``.
+    """
     hits = resolved.filter(F.col("resolved_file").isNotNull()).select(
         F.col("resolved_file").alias("path"), F.col("symbol_name").alias("name"), "importing_file"
     )
@@ -132,15 +116,14 @@ def importer_reasons(wanted: DataFrame, resolved: DataFrame) -> DataFrame:
 def _uses_through_imports(wanted: DataFrame, resolved: DataFrame, tokens: DataFrame, rank: Column) -> DataFrame:
     """Per wanted (path, name): the best use of the name in a file that imports the path.
 
-    Tokens are cut down to wanted names before they are shuffled; frequent words that
-    nobody defines never move.
+    Each importing file gets the names wanted of its imports; tokens meet these by equality.
     """
-    relevant = tokens.join(wanted.select("name").distinct(), "name", "left_semi").withColumnRenamed("path", "importing_file")
     pairs = importers_of_file(resolved).filter(F.col("path") != F.col("importing_file"))
-    used = relevant.join(pairs, "importing_file").groupBy("path", "name").agg(
+    looked_for = pairs.join(wanted.select("path", "name").distinct(), "path")
+    found = tokens.withColumnRenamed("path", "importing_file").join(looked_for, ["importing_file", "name"])
+    return found.groupBy("path", "name").agg(
         F.min(F.struct(rank.alias("rank"), F.col("importing_file").alias("file"))).alias("use")
     )
-    return used.join(wanted.select("path", "name").distinct(), ["path", "name"], "left_semi")
 
 
 def function_liveness(
@@ -158,7 +141,7 @@ def function_liveness(
         ~F.col("name").isin(vocab.ALWAYS_ALIVE_FUNCTIONS) & ~rules.is_special(F.col("name"))
     ).select("path", "name").distinct()
     uses = _uses_through_imports(wanted, resolved, tokens, F.when(F.col("how") == "called", 0).otherwise(1))
-    importers = importer_reasons(wanted, resolved).withColumnRenamed("n_importers", "_n")
+    importers = importer_reasons(wanted, resolved)
     exported = exports.select("path", "name", F.lit(True).alias("_exported"))
     stars = star_sources.select("path", F.lit(True).alias("_star"))
     rows = (
@@ -175,43 +158,36 @@ def function_liveness(
         .when(F.col("use.rank") == 0, F.concat(F.lit("called in "), used_in))
         .when(F.col("use.rank") == 1, F.concat(F.lit("imported by "), used_in))
         .when(F.col("first_importer").isNotNull(),
-              F.concat(F.lit("directly imported by "), _importers_text()))
+              F.concat(F.lit("directly imported by "), text.file_name(F.col("first_importer"))))
         .when(F.col("_exported"), F.lit("listed in __all__ or public API"))
     )
     return rows.select(
         *functions.columns, alive.isNull().alias("is_dead"),
-        F.coalesce(alive, F.lit("no cross-file usage found")).alias("reason"),
+        F.coalesce(alive, F.lit("no cross-file usage found")).alias("reason"), "first_importer", "n_importers",
     )
 
 
-def _importers_text() -> Column:
-    more = F.when(F.col("_n") > 1, F.concat(F.lit(" (+"), F.col("_n") - 1, F.lit(" more)"))).otherwise("")
-    return F.concat(text.file_name(F.col("first_importer")), more)
-
-
 def dead_functions(functions: DataFrame, resolved: DataFrame, tokens: DataFrame, exports: DataFrame, star_sources: DataFrame) -> DataFrame:
-    return function_liveness(functions, resolved, tokens, exports, star_sources).filter("is_dead").drop("is_dead")
+    return function_liveness(functions, resolved, tokens, exports, star_sources).filter("is_dead").drop("is_dead", "first_importer", "n_importers")
 
 
 def reexported(defs: DataFrame, inits: DataFrame, segment: bool = False) -> DataFrame:
-    """(path, name, init_path) where a package init exports the name above the file.
+    """(path, name, init_path) where a package init of the same repository exports the name above the file.
 
-    The init's folder has to be a prefix of the path, so every ancestor folder of the
-    path is listed and joined by equality.  As plain text ``/a/pkg`` is also a prefix of
-    ``/a/pkg2``; ``segment`` asks for whole path parts.
+    The init's folder has to be a prefix of the path, so prefixes of the path are listed and
+    meet the folder by equality.  As plain text ``/a/pkg`` is also a prefix of ``/a/pkg2``;
+    ``segment`` asks for whole path parts.
     """
+    homes = inits.select("repo", "name", "init_path", text.parent_dir(F.col("init_path")).alias("_folder"))
+    asked = defs.select("repo", "path", "name").distinct().join(homes.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
     parts = F.split(F.col("path"), "/", -1)
-    above = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
-    )
-    placed = defs.select("path", "name").distinct().select("path", "name", F.explode(above).alias("_parent"))
-    folder = text.parent_dir(F.col("init_path"))
-    homes = inits.select(
-        "name", "init_path", folder.alias("_folder"),
-        F.when(F.contains(folder, F.lit("/")), text.parent_dir(folder)).otherwise("").alias("_parent"),
-    )
-    prefix = F.concat(F.col("_folder"), F.lit("/")) if segment else F.col("_folder")
-    return placed.join(homes, ["name", "_parent"]).filter(F.startswith("path", prefix)).select("path", "name", "init_path")
+    if segment:
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        above = F.when(F.size(parts) > 1, above)
+    else:
+        above = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i))
+    placed = asked.select("repo", "path", "name", F.explode(above).alias("_folder"))
+    return placed.join(homes, ["repo", "name", "_folder"]).select("path", "name", "init_path")
 
 
 def symbol_liveness(
@@ -222,10 +198,10 @@ def symbol_liveness(
     ``usages`` comes from ``identifier_usages``: any token counts, but only in files
     that import the defining file.
     """
-    wanted = defs.groupBy("path", "name").agg(F.bool_or("in_all").alias("in_all"))
+    wanted = defs.groupBy("repo", "path", "name").agg(F.bool_or("in_all").alias("in_all"))
     alive_name = F.col("name").isin(vocab.ALWAYS_ALIVE_SYMBOLS)
     open_names = wanted.filter(~alive_name & ~rules.is_special(F.col("name")))
-    importers = importer_reasons(open_names, resolved).withColumnRenamed("n_importers", "_n")
+    importers = importer_reasons(open_names, resolved)
     uses = _uses_through_imports(open_names, resolved, usages.select("path", "name"), F.lit(0))
     inits_hit = (
         reexported(open_names, inits, segment).groupBy("path", "name").agg(F.min("init_path").alias("_init"))
@@ -238,19 +214,19 @@ def symbol_liveness(
     alive = (
         F.when(alive_name, F.lit("always-alive pattern"))
         .when(rules.is_special(F.col("name")), F.lit("dunder method/attribute"))
-        .when(F.col("first_importer").isNotNull(), F.concat(F.lit("imported by: "), _importers_text()))
+        .when(F.col("first_importer").isNotNull(), F.concat(F.lit("imported by: "), text.file_name(F.col("first_importer"))))
         .when(F.col("use").isNotNull(), F.concat(F.lit("used in: "), text.file_name(F.col("use.file"))))
         .when(F.col("in_all"), F.lit("exported in __all__"))
         .when(F.col("_init").isNotNull(), F.concat(F.lit("re-exported via "), text.file_name(F.col("_init"))))
     )
     return rows.select(
         "path", "name", alive.isNull().alias("is_unused"),
-        F.coalesce(alive, F.lit("no cross-file usage found")).alias("reason"),
+        F.coalesce(alive, F.lit("no cross-file usage found")).alias("reason"), "first_importer", "n_importers",
     )
 
 
 def unused_symbols(defs: DataFrame, resolved: DataFrame, usages: DataFrame, inits: DataFrame, segment: bool = False) -> DataFrame:
-    return symbol_liveness(defs, resolved, usages, inits, segment).filter("is_unused").drop("is_unused")
+    return symbol_liveness(defs, resolved, usages, inits, segment).filter("is_unused").drop("is_unused", "first_importer", "n_importers")
 
 
 # ------------------------------------------------------------------ positions

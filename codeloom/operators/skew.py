@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SPREAD_SETTING = "spark.codeloom.input.partitions"
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a small table whose files hold too few splits to occupy all cores.
+    """Redistribute an input over as many partitions as the session asks for.
 
-    A table that already has as many scan partitions as the session runs tasks is left
-    alone, so large inputs are never shuffled by this.
+    Only the setting decides, not the data; without it the input stays as it was scanned.
+    It is meant for files of one row group, which no scan can split.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+    wanted = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(wanted), *keys) if wanted else df
 
 
 def rank_within(

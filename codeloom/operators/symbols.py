@@ -95,7 +95,7 @@ def init_exports(symbols: DataFrame) -> DataFrame:
     return (
         _bucket(symbols, "import")
         .filter(F.endswith("path", F.lit("/__init__.py")))
-        .select(F.col("path").alias("init_path"), "name")
+        .select("repo", F.col("path").alias("init_path"), "name")
         .distinct()
     )
 

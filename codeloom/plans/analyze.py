@@ -49,7 +49,7 @@ def liveness(index: Index, exports_fallback: bool = True) -> DataFrame:
 
 
 def dead_functions(index: Index, exports_fallback: bool = True) -> DataFrame:
-    return liveness(index, exports_fallback).filter("is_dead").drop("is_dead")
+    return liveness(index, exports_fallback).filter("is_dead").drop("is_dead", "first_importer", "n_importers")
 
 
 def collect_findings(
@@ -76,7 +76,7 @@ def collect_findings(
         ],
         "structure": [
             findings.from_large_files(
-                scan.large_files(index.files, large_file), graph.importer_lists(index.edges), large_file
+                scan.large_files(index.files, large_file), graph.fan_in(index.edges), large_file
             )
         ],
     }

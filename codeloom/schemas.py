@@ -54,7 +54,7 @@ SYMBOLS = _table(
 IMPACT = _table(
     breaking_changes=_B, files_affected=_L, test_impact=_S, cross_file_check=_S, complexity=_I,
     entity_type=_S, parent_class=_S, security_risk=_S, credential_line=_S, loc=_L,
-    imported_by=T.ArrayType(_S))
+    n_importers=_L)
 
 ACTION = _table(
     id=_S, finding_id=_S, action_type=_S, description=_S, target=_S, confidence=_D, risk_level=_S,

@@ -34,6 +34,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "codeloom
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.codeloom.input.partitions", str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", str(not quiet).lower())
     )

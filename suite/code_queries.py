@@ -202,12 +202,10 @@ def importers_of_file(t):
 
 
 @query("edges", """
-    SELECT resolved_file AS path, count(DISTINCT importing_file) AS n_importers,
-           string_agg(DISTINCT regexp_extract(importing_file, '[^/]+$'), ',' ORDER BY regexp_extract(importing_file, '[^/]+$')) AS imported_by
+    SELECT resolved_file AS path, count(DISTINCT importing_file) AS n_importers
     FROM edges WHERE resolved_file IS NOT NULL GROUP BY resolved_file""")
 def fan_in(t):
-    lists = graph.importer_lists(_index(t).edges)
-    return lists.select("path", "n_importers", F.array_join("imported_by", ",").alias("imported_by"))
+    return graph.fan_in(_index(t).edges)
 
 
 @query("code edges", """
@@ -238,11 +236,13 @@ def function_liveness(t):
     WITH d AS (SELECT c.path, c.k, unnest(['load_' || c.k, '_spare_' || c.k, '__init__', 'Box' || c.k, 'LIMIT_' || c.k, 'API_TOKEN']) AS name,
                       a.valid AS a_valid, a.k AS ak, a.calls AS a_calls, b.valid AND b.star AS b_star, b.k AS bk
                FROM code c LEFT JOIN code a ON a.k = c.k + 10 LEFT JOIN code b ON b.k = c.k + 20 WHERE c.valid)
-    SELECT path, name, reason = 'no cross-file usage found' AS is_unused, reason FROM (
-        SELECT path, name, CASE
+    SELECT path, name, reason = 'no cross-file usage found' AS is_unused, reason, n_importers FROM (
+        SELECT path, name,
+            nullif(CASE WHEN name = '__init__' THEN 0 ELSE CAST(coalesce(a_valid AND name = 'load_' || k, false) AS BIGINT)
+                + CAST(coalesce(b_star, false) AS BIGINT) END, 0) AS n_importers, CASE
             WHEN name = '__init__' THEN 'always-alive pattern'
             WHEN name = 'load_' || k AND a_valid AND b_star THEN
-                 'imported by: ' || CASE WHEN ak || '.py' < bk || '.py' THEN 'm' || ak ELSE 'm' || bk END || '.py (+1 more)'
+                 'imported by: ' || CASE WHEN ak || '.py' < bk || '.py' THEN 'm' || ak ELSE 'm' || bk END || '.py'
             WHEN name = 'load_' || k AND a_valid THEN 'imported by: m' || ak || '.py'
             WHEN b_star THEN 'imported by: m' || bk || '.py'
             WHEN name = '_spare_' || k AND a_valid AND a_calls THEN 'used in: m' || ak || '.py'
@@ -253,7 +253,7 @@ def symbol_liveness(t):
     index = _index(t)
     return graph.symbol_liveness(
         index.definitions, index.edges, scan.identifier_usages(t.code), symbols.init_exports(index.symbols)
-    )
+    ).drop("first_importer")
 
 
 @query("code", """
@@ -301,12 +301,13 @@ def findings_unused_imports(t):
 
 
 @query("code_loc edges", """
-    SELECT l.path AS file_path, 1 + coalesce(e.n, 0) AS files_affected, l.loc::BIGINT AS loc FROM code_loc l
+    SELECT l.path AS file_path, 1 + coalesce(e.n, 0) AS files_affected, coalesce(e.n, 0) AS n_importers, l.loc::BIGINT AS loc,
+        'Consider splitting into logical sub-modules. Imported by: ' || coalesce(e.n || ' files', 'none') AS suggested_fix FROM code_loc l
     LEFT JOIN (SELECT resolved_file, count(DISTINCT importing_file) AS n FROM edges GROUP BY 1) e ON e.resolved_file = l.path
     WHERE l.loc > 450""")
 def findings_large_files(t):
-    found = findings.from_large_files(scan.large_files(t.code), graph.importer_lists(_index(t).edges))
-    return found.select("file_path", "impact.files_affected", "impact.loc")
+    found = findings.from_large_files(scan.large_files(t.code), graph.fan_in(_index(t).edges))
+    return found.select("file_path", "impact.files_affected", "impact.n_importers", "impact.loc", "suggested_fix")
 
 
 def _actions(t):

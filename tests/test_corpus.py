@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import vocab
-from codeloom.operators import coordinate, graph, registry, routing, scan, symbols
+from codeloom.operators import coordinate, findings, graph, registry, routing, scan, symbols
 from codeloom.plans import analyze
 from codeloom.sources import files as sources
 from tests.corpus import FILES, SECRET, frame
@@ -54,10 +54,20 @@ def test_fan_in_and_star_sources(index):
     assert dict(pairs(graph.fan_in(index.edges), "path", "n_importers"))["/a/pkg/core.py"] == 2
 
 
-def test_importer_lists_leave_long_ones_to_the_edge_table(index):
-    short = dict(pairs(graph.importer_lists(index.edges, limit=1).withColumn("n", F.size("imported_by")), "path", "n"))
-    assert short["/a/utils.py"] == 1 and short["/a/pkg/core.py"] in (None, -1)
-    assert graph.importers_of_file(index.edges).filter("path = '/a/pkg/core.py'").count() == 2
+def test_every_importer_is_a_row(index):
+    rows = pairs(graph.importers_of_file(index.edges), "path", "importing_file")
+    counts = dict(pairs(graph.fan_in(index.edges), "path", "n_importers"))
+    assert counts == {path: sum(p == path for p, _ in rows) for path, _ in rows}
+    assert counts["/a/utils.py"] == 1 and counts["/a/pkg/core.py"] == 2
+
+
+def test_a_thousand_importers_and_one_give_the_same_form(spark):
+    edges = spark.range(2000).selectExpr("'/a/hub.py' AS resolved_file", "concat('/a/f', id, '.py') AS importing_file", "'run' AS symbol_name")
+    large = spark.createDataFrame([("/a", "/a/hub.py", 500)], "repo string, path string, loc long")
+    row = findings.from_large_files(large, graph.fan_in(edges)).first()
+    assert row.impact.n_importers == 2000 and row.suggested_fix.endswith("Imported by: 2000 files")
+    reason = graph.importer_reasons(spark.createDataFrame([("/a/hub.py", "run")], "path string, name string"), edges).first()
+    assert (reason.first_importer, reason.n_importers) == ("/a/f0.py", 2000)
 
 
 def test_dead_functions(index):
@@ -75,6 +85,15 @@ def test_dead_set_shrinks_when_an_edge_is_added(spark, index):
     assert pairs(analyze.dead_functions(index), "path", "name") - dead == {("/a/utils.py", "left_out")}
 
 
+@pytest.mark.parametrize("segment", [False, True])
+def test_an_init_keeps_names_of_its_own_repository_only(spark, segment):
+    defs = spark.createDataFrame(
+        [("/f/app", "/f/app/m.py", "run"), ("/f/app2", "/f/app2/m.py", "run")], "repo string, path string, name string"
+    )
+    inits = spark.createDataFrame([("/f/app", "/f/app/__init__.py", "run")], "repo string, init_path string, name string")
+    assert pairs(graph.reexported(defs, inits, segment), "path", "init_path") == {("/f/app/m.py", "/f/app/__init__.py")}
+
+
 def test_unused_symbols_and_the_prefix_trap(index):
     usages = scan.identifier_usages(index.files)
     inits = symbols.init_exports(index.symbols)
