@@ -71,7 +71,8 @@ class WordEncoder(dict):
     def _run(self, run: str) -> list[int]:
         ids = self.runs.get(run)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize("".join([self.shown[b] for b in run.encode()]))]
+            shown = run if run.isascii() else "".join([self.shown[b] for b in run.encode()])
+            ids = [t.id for t in self.model.tokenize(shown)]
             if len(self.runs) < CACHED_WORDS:
                 self.runs[run] = ids
         return ids
@@ -89,8 +90,8 @@ class WordEncoder(dict):
             self[word] = out
         return out
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def build_planes(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -201,8 +202,9 @@ def encoded(path: str):
                 yield pa.RecordBatch.from_pylist([row], schema)
 
         for batch in pieces(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encoder.ids(text or "") + end
+            texts_read = batch.column("text").cast(pa.binary()).to_pylist()
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_read):
+                ids = encoder.ids(text or b"") + end
                 doc_ids.append(doc_id)
                 texts.append(ids)
                 size += len(ids) // 4
