@@ -8,7 +8,7 @@ mostly harmless are exceptions: entries inside them do not count.  A document's
 is a logistic function of its summed weight and of that sum divided by its length.
 
 The lexicon, the exceptions and the two coefficients are learned from labelled rows, at
-most ``FIT_ROWS`` of them (the lowest ids by hash; near copies count once).  Scoring reads
+most ``FIT_ROWS`` of them (the lowest ids by hash; rows equal in text and label count once).  Scoring reads
 every whole text.  A null or empty text has no entries and scores lowest.  Rows without a
 label, or whose label is null, teach nothing; with no labelled rows every score is 0.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from codeloom.llm.common import id_remainder, pieces, text_or_empty, tune, words_column, written
+from codeloom.llm.common import id_remainder, pieces, text_or_empty, tune, written
 
 # The documented bound on labelled rows that the fit reads.
 FIT_ROWS = 20_000
@@ -161,21 +161,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int = 3, rows: int = FIT_ROWS) -> DataFrame:
-    """text and toxic of at most ``rows`` training rows; of texts that share their two lowest word hashes, one."""
+    """text and toxic of at most ``rows`` training rows; rows equal in whole text and label are one."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(id_remainder("doc_id", modulus) != held_out)
-    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = docs.select("doc_id", text_or_empty().alias("text")).join(
-        F.broadcast(chosen.withColumnRenamed("doc_id", "labelled_id")), F.col("doc_id") == F.col("labelled_id")
+    known = known.groupBy(F.col("doc_id").alias("labelled_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
+    # Only ids and digests are shuffled; the limit counts rows that are there and differ.
+    found = texts.select("doc_id", "digest").join(known, F.col("doc_id") == F.col("labelled_id"))
+    distinct = found.groupBy("digest", "toxic").agg(F.min("doc_id").alias("labelled_id"))
+    chosen = distinct.orderBy(F.xxhash64("labelled_id"), "labelled_id", "digest", "toxic").limit(rows)
+    some = texts.join(
+        F.broadcast(chosen.withColumnRenamed("digest", "own")), (F.col("doc_id") == F.col("labelled_id")) & (F.col("digest") == F.col("own"))
     )
-    lowest = F.slice(F.sort_array(F.transform(F.array_distinct(words_column(F.col("text"))), lambda w: F.xxhash64(w))), 1, 2)
-    return some.withColumn("like", F.array_join(lowest, ",")).groupBy("like").agg(
-        F.min_by(F.struct("text", "toxic"), F.struct("doc_id", "text")).alias("r")
-    ).select("r.text", "r.toxic")
+    return some.groupBy("digest", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """Learn the model; what reaches the driver is bounded by ``FIT_ROWS`` and the lexicon's limits."""
+    """Learn the model; what reaches the driver is bounded by the words of ``FIT_ROWS`` texts."""
     tune(docs.sparkSession)
     rows = written(labelled(docs, labels, **options), "labelled")
     sizes = dict(rows.groupBy("toxic").count().collect())
@@ -184,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
     )
     ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
     least = math.exp(LEAST_WEIGHT) * (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)
-    # Each entry stands in LEAST_ROWS toxic rows or more, so their number is bounded by FIT_ROWS too.
-    found = counted.filter(F.col("toxic") >= LEAST_ROWS).filter(ratio >= 0.99 * least).orderBy(F.desc("toxic"), "entry").limit(FIT_ROWS)
+    # No limit: candidates are at most the word starts of the toxic rows by LEAST_ROWS, whatever the table's size.
+    found = counted.filter(F.col("toxic") >= LEAST_ROWS).filter(ratio >= 0.99 * least)
     entries = lexicon([(r.entry, r.toxic, r.clean) for r in found.collect()], sizes.get(1, 0), sizes.get(0, 0))
     seen = rows.mapInArrow(contexts(entries), "toxic int, words long, hits array<struct<weight:double,phrases:array<string>>>").collect()
     if not seen or not entries:
