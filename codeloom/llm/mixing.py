@@ -1,9 +1,10 @@
 """Mixing sources to target weights, block by block, with column expressions only.
 
 The words of a source, documents in a fixed order, are one long tape cut into blocks of
-``block_words``.  A mix takes as many words of a source as its target says: whole passes
-over the tape, then part of a pass as blocks in pseudorandom order.  Every slot of that
-order draws its output shard by a keyed hash, so the counts of sources in a shard are a
+``block_words``.  A mix takes as many words of a source as its target says, in passes over
+the tape; each pass has the blocks in a pseudorandom order of its own, and the last one
+ends where the target is met.  Slot i of pass p has the number p * blocks + i.  Every slot
+draws its output shard by a keyed hash, so the counts of sources in a shard are a
 multinomial draw while the totals stay exact.  Slots find their block through a keyed
 permutation of the source's block numbers and join the blocks by number.
 
@@ -107,29 +108,35 @@ def shuffled(index: Column, n: Column, turn: Column, seed: int) -> Column:
 
 
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """Slots of the unfinished pass of each source: turn, slot, shard, block and words taken of it."""
+    """Slots of the whole target of each source: turn, pass, slot, shard, block and words taken of it."""
     wanted = F.round("target").cast("long")
     size, left = F.col("source_size"), F.col("left")
-    rows = sources.filter("source_size > 0").withColumn("left", wanted % size).withColumn(
+    rows = sources.filter("source_size > 0").withColumn("wanted", wanted).filter("wanted > 0").withColumn(
         "n_blocks", F.ceil(size / block_words).cast("long")
-    ).filter("left > 0").withColumn("n_slots", F.least(F.floor(left / block_words).cast("long") + 2, F.col("n_blocks")))
+    ).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("wanted") - 1) / size).cast("long"))))
+    rows = rows.withColumn("left", F.least(size, F.col("wanted") - F.col("pass") * size)).withColumn(
+        "n_slots", F.least(F.floor(left / block_words).cast("long") + 2, F.col("n_blocks"))
+    )
     shards = F.ceil(F.sum("n_slots").over(Window.partitionBy()) / SLOTS_PER_SHARD).cast("long")
     rows = rows.withColumn("shards", shards)
     chunks = rows.withColumn("chunk", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOT_CHUNK).cast("long")
-    ))).repartition("turn", "chunk")
+    ))).repartition("turn", "pass", "chunk")
     first, last = F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n_slots")) - 1
-    each = chunks.withColumn("slot", F.explode(F.sequence(first, last)))
-    each = each.withColumn("block", shuffled(F.col("slot"), F.col("n_blocks"), F.col("turn"), seed))
-    # The last block may be short; slots after it begin earlier by what it lacks.
+    each = chunks.withColumn("nth", F.explode(F.sequence(first, last)))
+    each = each.withColumn("block", shuffled(F.col("nth"), F.col("n_blocks"), F.struct("turn", "pass"), seed))
+    # The last block may be short; slots of its pass after it begin earlier by what it lacks.
     tail = size - (F.col("n_blocks") - 1) * block_words
-    short = each.filter(F.col("block") == F.col("n_blocks") - 1).select(F.col("turn").alias("t"), F.col("slot").alias("short_slot"))
-    each = each.join(F.broadcast(short), F.col("turn") == F.col("t"), "left")
-    begin = F.col("slot") * block_words - F.when(F.col("slot") > F.col("short_slot"), block_words - tail).otherwise(0)
+    short = each.filter(F.col("block") == F.col("n_blocks") - 1).select(
+        F.col("turn").alias("t"), F.col("pass").alias("p"), F.col("nth").alias("short_nth")
+    )
+    each = each.join(F.broadcast(short), (F.col("turn") == F.col("t")) & (F.col("pass") == F.col("p")), "left")
+    begin = F.col("nth") * block_words - F.when(F.col("nth") > F.col("short_nth"), block_words - tail).otherwise(0)
     length = F.when(F.col("block") == F.col("n_blocks") - 1, tail).otherwise(block_words)
     words = F.least(length, left - begin)
+    each = each.withColumn("slot", F.col("pass") * F.col("n_blocks") + F.col("nth"))
     shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "turn", "slot"), F.col("shards"))
-    return each.select("turn", "slot", shard.alias("shard"), "block", words.alias("words")).filter("words > 0")
+    return each.select("turn", "pass", "slot", shard.alias("shard"), "block", words.alias("words")).filter("words > 0")
 
 
 def mix(
@@ -138,31 +145,30 @@ def mix(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources with targets, slots, takings).
 
-    Takings have doc_id, start (its place on the tape), size, passes (how often the whole
-    document is taken) and ``parts``, the word ranges taken besides, as (slot, shard, from,
-    count).  Slots say which block stands where in which output shard.
+    Takings have doc_id, start (its place on the tape), size, taken (words) and ``parts``,
+    the word ranges taken, as (pass, from, count, slot, shard).  Slots say which block
+    stands where in which output shard, for every word of the mix.
     """
     sizes = written(sized(docs), "sizes")
     sources = written(targets(sizes, weights, share, most), "sources")
     tape = on_tape(sizes, sources)
     drawn = slots(sources, block_words, seed)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).cast("long")
-    whole = tape.join(F.broadcast(sources.select("turn", "source", "source_size", "target", passes.alias("passes"))), "turn")
+    whole = tape.join(F.broadcast(sources.select("turn", "source", "source_size", "target")), "turn")
     end = F.col("start") + F.col("size")
     held = whole.withColumn("block", F.explode(F.sequence(
         F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)
     )))
-    # A document of many blocks is many rows here; a block is in one slot at most.
+    # A document of many blocks is many rows here; a block is in one slot of each pass at most.
     at = F.col("block") * block_words
     took = F.least(at + F.col("words"), end) - F.greatest(at, F.col("start"))
     joined = held.join(drawn, ["turn", "block"], "left").withColumn(
         "count", F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.greatest(took, F.lit(0)))
     )
     part = F.when(F.col("count") > 0, F.struct(
-        (F.greatest(at, F.col("start")) - F.col("start")).alias("from"), "count", "slot", "shard",
+        "pass", (F.greatest(at, F.col("start")) - F.col("start")).alias("from"), "count", "slot", "shard",
     ))
-    takings = joined.groupBy("turn", "start", "doc_id", "size", "source", "source_size", "target", "passes").agg(
-        F.sum("count").cast("long").alias("partly"), F.sort_array(F.collect_list(part)).alias("parts"),
+    takings = joined.groupBy("turn", "start", "doc_id", "size", "source", "source_size", "target").agg(
+        F.sum("count").cast("long").alias("taken"), F.sort_array(F.collect_list(part)).alias("parts"),
     )
     return sources, drawn, takings
 
@@ -171,8 +177,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """One row per document: size, its source's size and target, and the words the mix takes."""
     options = dict(options)
     sources, _, takings = mix(docs, **options)
-    taken = (F.col("passes") * F.col("size") + F.col("partly")).cast("long")
-    some = takings.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+    some = takings.select("doc_id", "size", "source", "source_size", "target", "taken")
     sizes = sized(docs).filter("size = 0").join(
         F.broadcast(sources.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))
     )
@@ -182,15 +187,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with their own columns and the text it takes of them.
 
-    A whole pass gives the whole text; part of a pass gives the words taken, in order, with
-    single blanks.  Texts taken more than once follow each other after a line feed, so that
+    A pass whose slots hold all words of a document gives its text as it is; else the words
+    taken stand in order, with single blanks.  Texts taken more than once follow each other after a line feed, so that
     ``doc_id`` stays unique; ``n_chars`` is counted anew.
     """
     _, _, takings = mix(docs, **options)
-    key = takings.select(
+    # All passes but the last hold every word, so the words taken say which pass holds a part.
+    passes = F.floor(F.col("taken") / F.col("size")).cast("long")
+    key = takings.filter("taken > 0").select(
         F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("source").alias("mix_source"),
-        F.col("passes").alias("mix_passes"), F.col("parts").alias("mix_parts"),
-    ).filter((F.col("mix_passes") > 0) | (F.size("mix_parts") > 0))
+        passes.alias("mix_passes"), F.filter("parts", lambda p: p["pass"] >= passes).alias("mix_parts"),
+    )
     # Rows that agree in id, source and size are the same for the tape; each takes one of the takings.
     like = ["mix_id", "mix_source", "mix_size"]
     key = key.withColumn("mix_copy", F.row_number().over(Window.partitionBy(*like).orderBy("mix_passes", "mix_parts")))
