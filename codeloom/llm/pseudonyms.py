@@ -5,6 +5,7 @@ list of small numbers, each below its own radix. A keyed Feistel network swaps a
 its two halves; every step can be undone, so the whole is a permutation of the values of
 one format, and equal values get equal pseudonyms in every document. Card numbers keep a
 right Luhn digit, dates stay dates. Numbers that fail their check are left as they are.
+Card numbers are looked for in every part of a run of numbers, so a number beside one hides nothing.
 Null texts stay null; text without findings is returned unchanged.
 """
 
@@ -22,7 +23,10 @@ MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+?\d{1,3}[ -]?)?\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w)"
-CARD = r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"
+# A run of numbers with single blanks or hyphens between, up to where a value of another kind begins.
+OTHERS = "|".join((MAIL, ADDRESS, DATE, PHONE))
+CARD = rf"(?<!\w)(?=\d(?:[ -]?\d){{12}})(?!{MAIL})\d++(?!\w)(?:[ -](?!{OTHERS})\d++(?!\w))*+"
+CARD_DIGITS = (13, 19)
 # The look-ahead spares most positions the alternatives.
 NUMBERS = "(?=[0-9+(])(?:" + "|".join((ADDRESS, DATE, PHONE, CARD)) + ")"
 FOUND = f"{NUMBERS}|{MAIL}"
@@ -93,6 +97,54 @@ def tens(numbers: Column) -> Column:
     return F.transform(numbers, lambda _: F.lit(10))
 
 
+def card_spans(groups: Column) -> Column:
+    """Parts of a run of digit groups that are card numbers, as (at, count) of groups in order.
+
+    Every start and every length of 13 to 19 digits is tried; of parts that overlap, the one
+    of more digits is taken, then the first one.
+    """
+    least, most = CARD_DIGITS
+
+    def span(at: Column, count: Column) -> Column:
+        return let(F.array_join(F.slice(groups, at, count), ""), lambda ds: F.struct(
+            (-F.length(ds)).alias("shorter"), at.alias("at"), count.alias("count"),
+            (F.length(ds).between(least, most) & F.coalesce(luhn_sum(digits(ds)) % 10 == 0, F.lit(False))).alias("valid"),
+        ))
+
+    def from_start(at: Column) -> Column:
+        # A group has a digit at least.
+        last = F.least(F.lit(most), F.size(groups) - at + 1)
+        return F.filter(F.transform(F.sequence(F.lit(1), last), lambda count: span(at, count)), lambda s: s["valid"])
+
+    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), from_start)))
+    meets = lambda s, t: (s["at"] < t["at"] + t["count"]) & (t["at"] < s["at"] + s["count"])
+    return F.array_sort(F.aggregate(
+        found, F.array().cast("array<struct<at:int,count:int>>"),
+        lambda taken, s: F.when(F.exists(taken, lambda t: meets(s, t)), taken).otherwise(
+            F.concat(taken, F.array(F.struct(s["at"].alias("at"), s["count"].alias("count"))))
+        ),
+    ))
+
+
+def cards_pseudonym(value: Column, key: str) -> Column:
+    """The run with its card numbers replaced, and their number; null without one."""
+    def rebuilt(parts: Column, spans: Column) -> Column:
+        # Part 2 i - 1 is group i, part 2 i the mark after it.
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: 2 * (s["at"] + s["count"]) - 3))
+        text = lambda first, n: F.array_join(F.slice(parts, first, n), "")
+        new = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda s, end: F.concat(
+            text(end + 1, 2 * s["at"] - 2 - end), card_pseudonym(text(2 * s["at"] - 1, 2 * s["count"] - 1), key)
+        ))
+        rest = let(F.element_at(ends, -1), lambda end: text(end + 1, F.size(parts) - end))
+        return F.when(F.size(spans) > 0, F.struct(
+            F.concat(F.array_join(new, ""), rest).alias("text"), F.size(spans).alias("n")
+        ))
+
+    parts = F.regexp_extract_all(value, F.lit(r"\d+|[ -]"), F.lit(0))
+    groups = F.regexp_extract_all(value, F.lit(r"\d+"), F.lit(0))
+    return let(parts, lambda ps: let(card_spans(groups), lambda spans: rebuilt(ps, spans)))
+
+
 def card_pseudonym(value: Column, key: str) -> Column:
     def checked(body: Column) -> Column:
         return F.concat(body, F.array(F.pmod(-luhn_sum(F.concat(body, F.array(F.lit(0)))), F.lit(10))))
@@ -155,22 +207,24 @@ def mail_pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """Kind and pseudonym of one found value; kind null where its check fails."""
-    makers = (mail_pseudonym, address_pseudonym, date_pseudonym, phone_pseudonym, card_pseudonym)
-    patterns = (MAIL, ADDRESS, DATE, PHONE, CARD)
+    """Kind, pseudonym and number of replaced values of one found value; kind null where its check fails."""
+    makers = (mail_pseudonym, address_pseudonym, date_pseudonym, phone_pseudonym)
+    patterns = (MAIL, ADDRESS, DATE, PHONE)
     new = None
     kind = None
     for name, pattern, make in zip(KINDS, patterns, makers):
         test = value.rlike(f"^(?:{pattern})$")
+        made = let(make(value, key), lambda out: F.when(out.isNotNull(), F.struct(out.alias("text"), F.lit(1).alias("n"))))
         kind = F.when(test, F.lit(name)) if kind is None else kind.when(test, F.lit(name))
-        new = F.when(test, make(value, key)) if new is None else new.when(test, make(value, key))
+        new = F.when(test, made) if new is None else new.when(test, made)
+    kind, new = kind.otherwise(F.lit("card")), new.otherwise(cards_pseudonym(value, key))
     return let(new, lambda out: F.struct(
-        F.when(out.isNotNull(), kind).alias("kind"), F.coalesce(out, value).alias("text"),
+        F.when(out.isNotNull(), kind).alias("kind"), F.coalesce(out["text"], value).alias("text"), F.coalesce(out["n"], F.lit(0)).alias("n"),
     ))
 
 
 def of_kind(found: Column, kind: str) -> Column:
-    return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long")
+    return F.aggregate(found, F.lit(0).cast("long"), lambda n, x: n + F.when(x["kind"] == kind, x["n"]).otherwise(0))
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
