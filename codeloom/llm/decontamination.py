@@ -9,8 +9,9 @@ own.  Each step is checked by Myers' bit-parallel distance, so false hits fail e
 no match within the budget is lost.
 
 Items come in blocks of bounded size, one pass over the documents per block; the number of
-items is not limited.  Null or empty texts and items match nothing.  Rows that share a
-``doc_id`` are judged together; null ids count as one id.
+items is not limited.  Null or empty texts and items match nothing.  ``contamination`` has
+one row per ``doc_id``, for all rows that share it (null ids count as one id);
+``decontaminated`` judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -203,7 +204,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def clean(block: tuple[tuple[int, str], ...]):
+    """The rows whose own text holds no item of the block."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield batch.filter(pa.array([not (t and matches(plain(t), block)) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("leaked_id"))
-    return docs.join(bad, same("doc_id", "leaked_id"), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; each row is judged by its own text."""
+    tune(docs.sparkSession)
+    for block in blocks(benchmark):
+        docs = docs.mapInArrow(clean(block), docs.schema)
+    return docs

@@ -27,8 +27,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codeloom.llm.common import Words, as_long, lists, mixed, pieces, tune, written
 from codeloom.llm.components import components
@@ -297,19 +298,37 @@ def linked_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def with_class(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the class of their own set in ``dup_class``."""
+    for batch in pieces(batches):
+        nodes = [node_of(s) if len(s) else None for s in sets_of(batch)]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in range(batch.num_columns)), pa.array(nodes, pa.int64())], names=[*batch.schema.names, "dup_class"]
+        )
+
+
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id.
+    """``docs`` with one row of each component: one of smallest id.
 
-    Of rows equal in id and text one stays; rows without an id are kept, as no group can name them.
+    Each row counts by its own set, also where rows share an id.  Rows without words are
+    kept; rows without an id are kept too, as no group can name them.
     """
-    found = linked_components(docs).filter("n_shingles > 0").select(F.col("doc_id").alias("dup_id"), "component_id", "node")
+    found = linked_components(docs).select(F.col("doc_id").alias("dup_id"), "component_id", "node").filter("dup_id is not null")
+    # A component is named by one of its ids; of that id's classes in it, the first one stays.
     verdicts = written(found.groupBy("dup_id").agg(
-        F.max(F.col("component_id") != F.col("dup_id")).alias("gone"), (F.count("*") > F.countDistinct("node")).alias("again"),
-    ).filter("gone or again"), "verdicts")
+        F.min(F.when(F.col("component_id") == F.col("dup_id"), F.col("node"))).alias("stays"),
+        F.count(F.when(F.col("node").isNull(), 1)).alias("wordless"), F.count("*").alias("rows"),
+    ).withColumn("gone", F.col("stays").isNull() & (F.col("wordless") == 0)).filter("gone or rows > 1"), "verdicts")
     same = F.col("doc_id") == F.col("dup_id")
-    kept = docs.join(verdicts.filter("gone").select("dup_id"), same, "left_anti")
-    again = verdicts.filter("again and not gone").select("dup_id")
-    if again.isEmpty():
+    kept = docs.join(verdicts.select("dup_id"), same, "left_anti")
+    several = verdicts.filter("not gone").select("dup_id", "stays")
+    if several.isEmpty():
         return kept
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same, "left_anti").unionByName(once)
+    chosen = docs.join(several.withColumnRenamed("stays", "dup_stays"), same).select(*docs.columns, "dup_stays")
+    classed = chosen.mapInArrow(with_class, StructType(
+        [*docs.schema.fields, StructField("dup_stays", LongType()), StructField("dup_class", LongType())]
+    ))
+    worded = classed.filter(F.col("dup_class") == F.col("dup_stays")).withColumn(
+        "dup_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    ).filter("dup_nth = 1")
+    return kept.unionByName(worded.select(*docs.columns)).unionByName(classed.filter("dup_class is null").select(*docs.columns))
