@@ -4,12 +4,10 @@ Symbols: one for the end of a text, one for each of the most frequent training w
 for all other words the hash class of their last letters.  Latent states emit symbols; a
 word within a class has the share of its smoothed count in that class, one unknown word
 per class included.  Word counts come from all training texts.  Baum-Welch collects
-expected counts in every partition and adds them up; early rounds read one eighth of the
-training texts each, a different one every time, the last rounds read all.
+expected counts in every partition and adds them up; every round reads all training texts.
 
-In training, texts are cut every ``CUT`` tokens so that many are handled side by side;
-scoring is not cut: the scaled forward recursion runs over the whole text, so the score is
-the exact log10 probability under the model.  Frequent words are looked up in a table of
+Training and scoring run over whole texts, many side by side: the score is the exact log10
+probability under the model.  Frequent words are looked up in a table of
 fixed size; the others join the word counts by hash.
 
 Null texts are empty ones (only the end).  Repeated rows are scored each, and learned from
@@ -35,8 +33,7 @@ CLASSES = 4096
 # Frequent words with a symbol of their own, and words whose counts every task holds.
 SYMBOL_WORDS = 16_384
 TABLE_WORDS = 131_072
-SLICES, SLICE_ROUNDS, FULL_ROUNDS = 8, 6, 2
-CUT = 128
+ROUNDS = 8
 PIECE_BYTES = 4_000_000
 SEED = 7
 
@@ -101,34 +98,25 @@ def sequences(words: Words, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return flat, starts
 
 
-def cut(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Beginnings and lengths of the runs of at most CUT tokens, and which begin a text."""
-    n = -(-np.diff(starts) // CUT)
-    first = np.repeat(starts[:-1], n)
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    begin = first + nth * CUT
-    return begin, np.minimum(CUT, np.repeat(starts[1:], n) - begin), nth == 0
-
-
 @dataclass
 class Parameters:
     start: np.ndarray
-    usual: np.ndarray
+    usual: np.ndarray  # shares of the states over all symbols; the recursions do not use them
     moves: np.ndarray
     emit: np.ndarray  # symbols x states
 
 
 def expected(flat: np.ndarray, starts: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts: states at the start of texts, moves, and symbols by state."""
-    begin, length, opens = cut(starts)
+    length = np.diff(starts)
     order = np.argsort(-length, kind="stable")
-    begin, length, opens = begin[order], length[order], opens[order]
-    active = [int(np.searchsorted(-length, -t, side="left")) for t in range(int(length[0]))] if len(length) else []
+    begin, length = starts[:-1][order], length[order]
+    active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left").tolist()
     alphas, emits, scales, seen = [], [], [], []
     for t, n in enumerate(active):
         symbol = flat[begin[:n] + t]
         emit = p.emit[symbol]
-        prior = np.where(opens[:n, None], p.start, p.usual) if t == 0 else alphas[-1][:n] @ p.moves
+        prior = np.broadcast_to(p.start, (n, len(p.start))) if t == 0 else alphas[-1][:n] @ p.moves
         alpha = prior * emit
         scale = alpha.sum(axis=1, keepdims=True)
         alphas.append(alpha / scale)
@@ -144,12 +132,14 @@ def expected(flat: np.ndarray, starts: np.ndarray, p: Parameters) -> tuple[np.nd
             ahead = emits[t + 1] * beta / scales[t + 1]
             moves += alphas[t][:len(ahead)].T @ ahead
             full[:len(ahead)] = ahead @ p.moves.T
-        beta = full
-        gammas[t] = alphas[t] * beta
+        gamma = alphas[t] * full
+        total = gamma.sum(axis=1, keepdims=True)
+        # One but for rounding, which would add up over a long text.
+        beta, gammas[t] = full / total, gamma / total
     emitted = np.zeros(p.emit.shape)
     first = np.zeros(len(p.start))
     if active:
-        first = gammas[0][opens].sum(axis=0)
+        first = gammas[0].sum(axis=0)
         symbol, gamma = np.concatenate(seen), np.concatenate(gammas)
         for k in range(emitted.shape[1]):
             emitted[:, k] = np.bincount(symbol, gamma[:, k], minlength=len(emitted))
@@ -294,9 +284,8 @@ def make_table(vocabulary: DataFrame, n_docs: int) -> tuple[Table, np.ndarray]:
 def trained(texts: DataFrame, table: Table, unigram: np.ndarray) -> Parameters:
     p = beginning(unigram)
     schema = "symbol int, " + ", ".join(f"s{k} double" for k in range(STATES))
-    for turn in range(SLICE_ROUNDS + FULL_ROUNDS):
-        part = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == turn % SLICES) if turn < SLICE_ROUNDS else texts
-        rows = part.select("text").mapInArrow(collected(table, p), schema).groupBy("symbol").agg(
+    for _ in range(ROUNDS):
+        rows = texts.select("text").mapInArrow(collected(table, p), schema).groupBy("symbol").agg(
             *[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]
         ).toPandas()
         p = maximised(rows, unigram) if len(rows) else p
