@@ -28,6 +28,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def named(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names; others may differ from them by case or hold dots."""
+    have = docs.columns
+    places = [f"c{i}" for i in range(len(have))]
+    return docs.toDF(*places).select(*[F.col(places[have.index(n)]).alias(n) for n in names])
+
+
 def words_column(text: Column) -> Column:
     """The words of a text, in order."""
     return F.filter(F.split(text, WHITE_RUN), lambda w: w != "")

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, hidden_markov, mixing, ngram_join, passages, pseudonyms, quality, token_counts, token_files, toxicity
+from codeloom.llm import (
+    classifier, decontamination, hidden_markov, importance, mixing, ngram_join, passages, pseudonyms, quality, sql, token_counts, token_files,
+    toxicity, variants,
+)
 from codeloom.llm.common import documents, id_remainder
 
 ENCODER = "word_bpe_49k.json"
@@ -66,10 +69,27 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_index(documents(spark, folder), public_tokenizers.path(ENCODER))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(documents(spark, folder))
+
+
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = classifier.fit(docs, table(spark, folder, "labels"), id_remainder("doc_id", 5) != 0)
+    held_out = (id_remainder("doc_id", 5) == 0).alias("held_out")
+    return classifier.classified(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.importance(documents(spark, folder), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_token_counts, op3_ngram_jaccard, op4_decontaminate, op5_toxicity, op6_hidden_markov,
         op7_repeated_passages, op8_pseudonyms, op9_quality_rules, op10_token_files,
+        op11_spelling_variants, op12_quality_classifier, op13_importance_resampling,
     )
 }
 
@@ -133,4 +153,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     (NOT base_failed AND {RULES_SQL}) AS kept
 FROM judged
 """
-ORACLES: dict[str, str] = {"op3_ngram_jaccard": JACCARD_SQL, "op9_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": JACCARD_SQL, "op9_quality_rules": QUALITY_SQL, "op11_spelling_variants": sql.VARIANTS,
+    "op13_importance_resampling": sql.RESAMPLING,
+}
