@@ -4,9 +4,9 @@ Tokens are runs of letters, of digits and of one kind of other sign (A-Z lower-c
 tokens and pairs, the text's begin and end included, hashed to ``WIDTH`` places.  A
 feature's value is the root of its share in the text, so every text has length one.
 
-Training goes over the labelled rows in ``SHARDS`` streams of rows dealt by hash of the id.  Each stream updates the two
-sums of the leader (gradients and squares) row by row; after a round the streams' changes are
-averaged and the next round begins from there.  The fit reads at most about ``FIT_ROWS`` labelled rows, drawn by hash of
+Training goes over the labelled rows in streams of about ``SHARD_ROWS`` rows, at most ``MOST_SHARDS``, dealt by hash.  Each
+stream updates the two sums of the leader (gradients and squares) row by row; after a round the
+streams' changes are averaged and the next round begins from there.  The fit reads at most about ``FIT_ROWS`` labelled rows, drawn by hash of
 their id when there are more; scoring reads every whole text as sparse dot products.
 
 A null or empty text has one feature, the pair of begin and end.  Rows without a label, with a
@@ -29,9 +29,11 @@ BITS = 18
 WIDTH = 1 << BITS
 # The documented bound on labelled rows that the fit reads.
 FIT_ROWS = 50_000
-SHARDS, ROUNDS = 8, 4
+SHARD_ROWS, MOST_SHARDS = 2_000, 8
+# Every row is learned from in each round; few rows are gone over more often, until so many steps are taken.
+ROUNDS, MOST_ROUNDS, STEPS = 6, 30, 30_000
 # Learning rate and its smoothing; weights below the first penalty are zero.
-RATE, SMOOTH, SPARSE, SHRINK = 1.0, 1.0, 0.05, 0.001
+RATE, SMOOTH, SPARSE, SHRINK = 2.0, 1.0, 0.05, 0.001
 THRESHOLD = 0.3
 # The end of a text, which is also the begin of it: a token that no text holds.
 EDGE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,20 +100,28 @@ def logistic(x: np.ndarray | float):
 
 
 def stream(z0: np.ndarray, squares0: np.ndarray):
-    """One shard's rows in turn; yields what changed."""
+    """The rows of each shard in turn, one shard after the other; yields what a shard changed."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, squares = z0.copy(), squares0.copy()
+        z, squares, current = z0.copy(), squares0.copy(), None
         for batch in batches:
-            for label, place, value in zip(batch.column("label").to_pylist(), batch.column("place"), batch.column("value")):
+            for shard, label, place, value in zip(*[batch.column(c) for c in ("shard", "label", "place", "value")]):
+                if shard != current:
+                    if current is not None:
+                        yield changes(z, squares)
+                        z, squares = z0.copy(), squares0.copy()
+                    current = shard
                 at, x = place.values.to_numpy(), value.values.to_numpy().astype(np.float64)
                 old = squares[at]
                 w = weights(z[at], old)
-                slope = (logistic(float(w @ x)) - label) * x
+                slope = (logistic(float(w @ x)) - label.as_py()) * x
                 new = old + slope * slope
                 z[at] += slope - (np.sqrt(new) - np.sqrt(old)) / RATE * w
                 squares[at] = new
+        yield changes(z, squares)
+
+    def changes(z: np.ndarray, squares: np.ndarray) -> pa.RecordBatch:
         changed = np.flatnonzero((z != z0) | (squares != squares0))
-        yield pa.RecordBatch.from_arrays([
+        return pa.RecordBatch.from_arrays([
             pa.array(changed.astype(np.int32)), pa.array((z - z0)[changed]), pa.array((squares - squares0)[changed]),
         ], names=["place", "z", "squares"])
 
@@ -136,17 +146,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn, name: str = "quality", most:
     # At most about ``most`` rows, so the side that is broadcast is bounded; texts stay where they are.
     rows = named(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.xxhash64("doc_id", "text").alias("turn"), F.col("label").cast("double").alias("label"), "text")
-    shard = F.pmod(F.shiftright("turn", 7), F.lit(SHARDS))
     table = written(rows.mapInArrow(sparse, "turn long, label double, place array<int>, value array<float>"), "training_rows")
+    number = table.count()
+    shards = min(MOST_SHARDS, 1 + number // SHARD_ROWS)
+    shard = F.pmod(F.shiftright("turn", 7), F.lit(shards))
     z, squares = np.zeros(WIDTH), np.zeros(WIDTH)
-    for _ in range(ROUNDS):
+    for _ in range(max(ROUNDS, min(MOST_ROUNDS, STEPS // max(number, 1)))):
         # Each shard is one stream, ordered by hash; its changes are at most WIDTH rows.
-        changes = table.withColumn("shard", shard).repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", "turn").select(
-            "label", "place", "value").mapInArrow(stream(z, squares), "place int, z double, squares double")
+        changes = table.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "turn").select(
+            "shard", "label", "place", "value").mapInArrow(stream(z, squares), "place int, z double, squares double")
         summed = changes.groupBy("place").agg(F.sum("z").alias("z"), F.sum("squares").alias("squares")).toArrow()
         at = summed.column("place").to_numpy()
-        z[at] += summed.column("z").to_numpy() / SHARDS
-        squares[at] += summed.column("squares").to_numpy() / SHARDS
+        z[at] += summed.column("z").to_numpy() / shards
+        squares[at] += summed.column("squares").to_numpy() / shards
     return weights(z, squares)
 
 
