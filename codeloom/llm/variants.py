@@ -35,7 +35,7 @@ RATIO = 5
 # One in so many (document, run) loses a letter.
 LOSS = 199
 # Words of one sorted slice, and counts that a task holds before it hands them on.
-SLICE_WORDS, HELD_WORDS = 50_000, 500_000
+SLICE_WORDS, HELD_WORDS = 10_000, 500_000
 # Chains of forms grow by RATIO a step, so 64 steps hold any count; each round doubles the steps.
 MOST_ROUNDS = 8
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
