@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Words, as_long, lists, mixed, named, pieces, tune, written
+from codeloom.llm.common import Words, as_long, lists, mixed, named, pieces, tune, work_path, written
 
 BITS = 18
 WIDTH = 1 << BITS
@@ -34,6 +34,7 @@ SHARD_ROWS, MOST_SHARDS = 2_000, 8
 ROUNDS, MOST_ROUNDS, STEPS = 6, 30, 30_000
 # Learning rate and its smoothing; weights below the first penalty are zero.
 RATE, SMOOTH, SPARSE, SHRINK = 2.0, 1.0, 0.05, 0.001
+UNIT = 2.0 ** -40
 THRESHOLD = 0.3
 # The end of a text, which is also the begin of it: a token that no text holds.
 EDGE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +100,11 @@ def logistic(x: np.ndarray | float):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def fixed(values: np.ndarray) -> pa.Array:
+    """Whole numbers of ``UNIT``, whose sum doesn't depend on the order of the shards."""
+    return pa.array(np.rint(values / UNIT).astype(np.int64))
+
+
 def stream(z0: np.ndarray, squares0: np.ndarray):
     """The rows of each shard in turn, one shard after the other; yields what a shard changed."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +128,7 @@ def stream(z0: np.ndarray, squares0: np.ndarray):
     def changes(z: np.ndarray, squares: np.ndarray) -> pa.RecordBatch:
         changed = np.flatnonzero((z != z0) | (squares != squares0))
         return pa.RecordBatch.from_arrays([
-            pa.array(changed.astype(np.int32)), pa.array((z - z0)[changed]), pa.array((squares - squares0)[changed]),
+            pa.array(changed.astype(np.int32)), fixed((z - z0)[changed]), fixed((squares - squares0)[changed]),
         ], names=["place", "z", "squares"])
 
     return run
@@ -146,19 +152,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn, name: str = "quality", most:
     # At most about ``most`` rows, so the side that is broadcast is bounded; texts stay where they are.
     rows = named(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.xxhash64("doc_id", "text").alias("turn"), F.col("label").cast("double").alias("label"), "text")
+    spark = docs.sparkSession
     table = written(rows.mapInArrow(sparse, "turn long, label double, place array<int>, value array<float>"), "training_rows")
     number = table.count()
     shards = min(MOST_SHARDS, 1 + number // SHARD_ROWS)
     shard = F.pmod(F.shiftright("turn", 7), F.lit(shards))
+    # One file per shard in its order, dealt once; a shard is far below a row group, so a file is read as one stream.
+    dealt = work_path(spark, "shards")
+    table.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "turn").write.partitionBy("shard").parquet(dealt)
+    dealt_rows = spark.read.schema("label double, place array<int>, value array<float>, shard long").parquet(dealt)
     z, squares = np.zeros(WIDTH), np.zeros(WIDTH)
     for _ in range(max(ROUNDS, min(MOST_ROUNDS, STEPS // max(number, 1)))):
-        # Each shard is one stream, ordered by hash; its changes are at most WIDTH rows.
-        changes = table.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "turn").select(
-            "shard", "label", "place", "value").mapInArrow(stream(z, squares), "place int, z double, squares double")
-        summed = changes.groupBy("place").agg(F.sum("z").alias("z"), F.sum("squares").alias("squares")).toArrow()
+        # The changes of a shard are at most WIDTH rows.
+        changed = dealt_rows.select("shard", "label", "place", "value").mapInArrow(stream(z, squares), "place int, z long, squares long")
+        summed = changed.groupBy("place").agg(F.sum("z").alias("z"), F.sum("squares").alias("squares")).toArrow()
         at = summed.column("place").to_numpy()
-        z[at] += summed.column("z").to_numpy() / shards
-        squares[at] += summed.column("squares").to_numpy() / shards
+        z[at] += summed.column("z").to_numpy() * (UNIT / shards)
+        squares[at] += summed.column("squares").to_numpy() * (UNIT / shards)
     return weights(z, squares)
 
 
