@@ -6,9 +6,10 @@ word within a class has the share of its smoothed count in that class, one unkno
 per class included.  Word counts come from all training texts.  Baum-Welch collects
 expected counts in every partition and adds them up; every round reads all training texts.
 
-Training and scoring run over whole texts, many side by side: the score is the exact log10
-probability under the model.  Frequent words are looked up in a table of
-fixed size; the others join the word counts by hash.
+Texts are looked up once: their symbols are written as 16-bit numbers, from which all rounds and the
+scores are taken.  Training and scoring are exact over whole texts (``recursion``): the score is the log10
+probability under the model, and memory is bounded whatever a text's length.  Frequent
+words are looked up in a table of fixed size, chosen by a histogram of the counts; the others join the word counts by hash.
 
 Null texts are empty ones (only the end).  Repeated rows are scored each, and learned from
 as often as they stand.  Without training texts every token has the smoothing's share.
@@ -25,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Words, as_long, mixed, pieces, tune, written
+from codeloom.llm.common import Words, as_long, mixed, named, pieces, tune, written
+from codeloom.llm.recursion import Parameters, expected, log_likelihood
 
 STATES = 8
 SMOOTHING = 0.1
@@ -34,7 +36,7 @@ CLASSES = 4096
 SYMBOL_WORDS = 16_384
 TABLE_WORDS = 131_072
 ROUNDS = 8
-PIECE_BYTES = 4_000_000
+PIECE_BYTES, SYMBOL_BYTES = 4_000_000, 2_000_000
 SEED = 7
 
 
@@ -98,63 +100,24 @@ def sequences(words: Words, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return flat, starts
 
 
-@dataclass
-class Parameters:
-    start: np.ndarray
-    usual: np.ndarray  # shares of the states over all symbols; the recursions do not use them
-    moves: np.ndarray
-    emit: np.ndarray  # symbols x states
-
-
-def expected(flat: np.ndarray, starts: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts: states at the start of texts, moves, and symbols by state."""
-    length = np.diff(starts)
-    order = np.argsort(-length, kind="stable")
-    begin, length = starts[:-1][order], length[order]
-    active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left").tolist()
-    alphas, emits, scales, seen = [], [], [], []
-    for t, n in enumerate(active):
-        symbol = flat[begin[:n] + t]
-        emit = p.emit[symbol]
-        prior = np.broadcast_to(p.start, (n, len(p.start))) if t == 0 else alphas[-1][:n] @ p.moves
-        alpha = prior * emit
-        scale = alpha.sum(axis=1, keepdims=True)
-        alphas.append(alpha / scale)
-        emits.append(emit)
-        scales.append(scale)
-        seen.append(symbol)
-    moves, gammas = np.zeros_like(p.moves), [None] * len(active)
-    beta = None
-    for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        full = np.ones((n, len(p.start)), dtype=p.emit.dtype)
-        if beta is not None:
-            ahead = emits[t + 1] * beta / scales[t + 1]
-            moves += alphas[t][:len(ahead)].T @ ahead
-            full[:len(ahead)] = ahead @ p.moves.T
-        gamma = alphas[t] * full
-        total = gamma.sum(axis=1, keepdims=True)
-        # One but for rounding, which would add up over a long text.
-        beta, gammas[t] = full / total, gamma / total
-    emitted = np.zeros(p.emit.shape)
-    first = np.zeros(len(p.start))
-    if active:
-        first = gammas[0].sum(axis=0)
-        symbol, gamma = np.concatenate(seen), np.concatenate(gammas)
-        for k in range(emitted.shape[1]):
-            emitted[:, k] = np.bincount(symbol, gamma[:, k], minlength=len(emitted))
-    return first, moves * p.moves, emitted
-
-
-def collected(table: Table, p: Parameters):
+def joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a batch's texts one after the other, and where each text begins."""
+    texts = batch.column("symbols").to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])]).astype(np.int64)
+    return np.frombuffer(b"".join(texts), np.int16), starts
+
+
+def collected(p: Parameters):
     """One row per symbol with its expected counts by state, per task; negative symbols are starts and moves."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in pieces(batches, most=PIECE_BYTES):
-            words = Words(batch.column("text"))
-            flat, starts = sequences(words, word_symbols(words, table)[0])
-            part = expected(flat, starts, p)
-            total = part if total is None else tuple(a + b for a, b in zip(total, part))
+        for batch in pieces(batches, "symbols", SYMBOL_BYTES):
+            part = expected(*joined(batch), p)
+            if total is None:
+                total = part
+            else:
+                for sums, more in zip(total, part):
+                    sums += more
         if total is not None:
             first, moves, emitted = total
             used = np.flatnonzero(emitted.sum(axis=1) > 0)
@@ -196,44 +159,18 @@ def beginning(unigram: np.ndarray) -> Parameters:
     return Parameters(even, even, moves.astype(np.float32), (emit / emit.sum(axis=0)).astype(np.float32))
 
 
-def log_likelihood(flat: np.ndarray, starts: np.ndarray, p: Parameters) -> np.ndarray:
-    """log10 probability of each text's symbols, by the scaled forward recursion over whole texts."""
-    length = np.diff(starts)
-    order = np.argsort(-length, kind="stable")
-    begin, length = starts[:-1][order], length[order]
-    out = np.zeros(len(order))
-    alpha = None
-    emit, moves = p.emit.astype(np.float64), p.moves.astype(np.float64)
-    active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
-    for t, n in enumerate(active):
-        prior = np.broadcast_to(p.start.astype(np.float64), (n, STATES)) if t == 0 else alpha[:n] @ moves
-        alpha = prior * emit[flat[begin[:n] + t]]
-        scale = alpha.sum(axis=1)
-        out[:n] += np.log10(scale)
-        alpha = alpha / scale[:, None]
-    result = np.empty(len(order))
-    result[order] = out
-    return result
-
-
-SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long"
-
-
-def scored(table: Table, p: Parameters):
-    """One row per document with what the table answers; one row per other word, to be joined."""
-    def nulls(n: int, kind: pa.DataType) -> pa.Array:
-        return pa.nulls(n, kind)
-
+def encoded(table: Table):
+    """One row per document with its symbols and what the table answers; one row per other word, to be joined."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_total = np.log10(table.n_tokens + SMOOTHING * (table.n_types + 1))
         logs = np.log10(table.counts + SMOOTHING) if len(table.counts) else np.zeros(0)
         class_total = np.log10(table.class_total)
         key = TaskContext.get().partitionId() << 33
-        names = [x.split()[0] for x in SCORED.split(", ")]
         for batch in pieces(batches, most=PIECE_BYTES):
             words = Words(batch.column("text"))
             symbols, at = word_symbols(words, table)
             flat, starts = sequences(words, symbols)
+            flat = flat.astype(np.int16)
             known = at >= 0
             own = symbols > CLASSES
             log_count = np.where(known, logs[np.maximum(at, 0)] if len(logs) else 0.0, 0.0)
@@ -243,17 +180,36 @@ def scored(table: Table, p: Parameters):
             base = add(log_count) + np.log10(table.n_docs + SMOOTHING) - n_tokens * base_total
             keys = key + np.arange(words.n_docs)
             key += words.n_docs
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys), batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens.astype(np.int64)),
-                pa.array((add(known) + (table.n_docs > 0)).astype(np.int64)), pa.array(base),
-                pa.array(log_likelihood(flat, starts, p) + add(in_class)), nulls(words.n_docs, pa.int64()),
-            ], names=names)
             rest = np.flatnonzero(~known)
-            k = len(rest)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys[words.doc[rest]]), nulls(k, pa.int64()), nulls(k, pa.bool_()), nulls(k, pa.int64()), nulls(k, pa.int64()),
-                nulls(k, pa.float64()), nulls(k, pa.float64()), as_long(words.hash[rest]),
-            ], names=names)
+            columns = {
+                "key": pa.array(np.concatenate([keys, keys[words.doc[rest]]])), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+                "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array((add(known) + (table.n_docs > 0)).astype(np.int64)),
+                "base_score": pa.array(base), "in_class": pa.array(add(in_class)),
+                "symbols": pa.array([flat[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary()),
+            }
+            full = [c if name == "key" else pa.concat_arrays([c, pa.nulls(len(rest), c.type)]) for name, c in columns.items()]
+            yield pa.RecordBatch.from_arrays(
+                [*full, pa.concat_arrays([pa.nulls(words.n_docs, pa.int64()), as_long(words.hash[rest])])], names=[*columns, "word"]
+            )
+
+    return run
+
+
+def symbol_rows(texts: DataFrame, table: Table) -> DataFrame:
+    """The encoded rows of (doc_id, text, held_out), written."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, in_class double, symbols binary, word long"
+    return written(texts.select("doc_id", "text", "held_out").mapInArrow(encoded(table), schema), "encoded")
+
+
+def scored(p: Parameters):
+    """The rows with the log10 probability of their symbols added to what the table answered."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "symbols", SYMBOL_BYTES):
+            likelihood = log_likelihood(*joined(batch), p)
+            score = likelihood + batch.column("in_class").to_numpy()
+            names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(score)], names=[*names, "score"])
 
     return run
 
@@ -261,7 +217,14 @@ def scored(table: Table, p: Parameters):
 def make_table(vocabulary: DataFrame, n_docs: int) -> tuple[Table, np.ndarray]:
     """The table that tasks hold and the symbols' shares, from the counted words."""
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).toPandas()
+    # Words of one count stay or go together; a histogram says from which count on they fit.
+    least, fit = 1, 0
+    for r in vocabulary.groupBy("n").count().orderBy(F.desc("n")).collect():
+        fit += r["count"]
+        if fit > TABLE_WORDS:
+            least = r.n + 1
+            break
+    top = vocabulary.filter(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     classes = vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     n, v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     n[classes["class"]], v[classes["class"]] = classes["n"], classes["v"]
@@ -281,14 +244,14 @@ def make_table(vocabulary: DataFrame, n_docs: int) -> tuple[Table, np.ndarray]:
     ), unigram
 
 
-def trained(texts: DataFrame, table: Table, unigram: np.ndarray) -> Parameters:
+def trained(rows: DataFrame, unigram: np.ndarray) -> Parameters:
+    """Parameters after ``ROUNDS`` rounds, each over the symbols of all rows that aren't held out."""
     p = beginning(unigram)
     schema = "symbol int, " + ", ".join(f"s{k} double" for k in range(STATES))
+    training = rows.filter("word is null and not held_out").select("symbols")
     for _ in range(ROUNDS):
-        rows = texts.select("text").mapInArrow(collected(table, p), schema).groupBy("symbol").agg(
-            *[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]
-        ).toPandas()
-        p = maximised(rows, unigram) if len(rows) else p
+        sums = training.mapInArrow(collected(p), schema).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toPandas()
+        p = maximised(sums, unigram) if len(sums) else p
     return p
 
 
@@ -296,7 +259,7 @@ def model_scores(docs: DataFrame, held_out) -> DataFrame:
     """Learn from rows where ``held_out`` is false and score all rows."""
     spark = tune(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
+    texts = named(docs.withColumn("mkv_held_out", held_out), "doc_id", "text", "mkv_held_out").withColumnRenamed("mkv_held_out", "held_out")
     training = texts.filter(~F.col("held_out")).select("doc_id", "text")
     vocabulary = written(
         training.select("text").mapInArrow(word_counts, "word long, class int, n long").groupBy("word").agg(
@@ -304,9 +267,13 @@ def model_scores(docs: DataFrame, held_out) -> DataFrame:
         ), "vocabulary",
     )
     table, unigram = make_table(vocabulary, training.count())
-    p = trained(training, table, unigram)
-    rows = written(texts.mapInArrow(scored(table, p), SCORED), "scored")
-    main, other = rows.filter("word is null").drop("word"), rows.filter("word is not null").select("key", "word")
+    rows = symbol_rows(texts, table)
+    p = trained(rows, unigram)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    main = rows.filter("word is null").select("key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "in_class", "symbols").mapInArrow(
+        scored(p), f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    other = rows.filter("word is not null").select("key", "word")
     count = F.coalesce("n", F.lit(0))
     joined = other.join(vocabulary.select("word", "n"), "word", "left").groupBy("key").agg(
         F.sum(F.log10(count + SMOOTHING)).alias("logs"), F.count("n").alias("found")
