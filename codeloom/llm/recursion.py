@@ -32,8 +32,13 @@ def _running(length: np.ndarray) -> list[int]:
     return np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left").tolist()
 
 
+def _totals(x: np.ndarray) -> np.ndarray:
+    """The sum of each row, in every column: a product with ones keeps the loops long."""
+    return x @ np.ones((x.shape[1], x.shape[1]), x.dtype)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / x.sum(axis=-1, keepdims=True)
+    return x / _totals(x)
 
 
 @dataclass
@@ -62,16 +67,18 @@ class Blocks:
         if not len(later):
             return before, after
         products = np.empty((n, k, k), emit.dtype)
+        wide = np.tile(emit, (1, k))
         for group in range(0, len(later), GROUP):
             rows = later[group:group + GROUP]
             rows = rows[np.argsort(-self.length[rows], kind="stable")]
+            begin = self.begin[rows]
             x = np.tile(np.eye(k, dtype=emit.dtype), (len(rows), 1, 1))
             for t, m in enumerate(_running(self.length[rows])):
-                step = (x[:m].reshape(-1, k) @ moves).reshape(m, k, k)
-                step *= emit[self.flat[self.begin[rows[:m]] + t]][:, None, :]
+                step = (x[:m].reshape(-1, k) @ moves).reshape(m, k * k)
+                step *= wide.take(self.flat.take(begin[:m] + t), axis=0)
                 if t % SCALED == SCALED - 1:
-                    step /= step.sum(axis=(1, 2), keepdims=True)
-                x[:m] = step
+                    step /= step.sum(axis=1, keepdims=True)
+                x[:m] = step.reshape(m, k, k)
             products[rows] = x / x.sum(axis=(1, 2), keepdims=True)
         # The first block of a longer sequence is a whole one.
         first = later[self.nth[later] == 1] - 1
@@ -103,6 +110,7 @@ def expected(flat: np.ndarray, starts: np.ndarray, p: Parameters, size: int = BL
     k = len(p.start)
     blocks = Blocks.of(flat, starts, size)
     before, after = blocks.borders(p.start, p.moves, emit)
+    back = np.ascontiguousarray(p.moves.T)
     first, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(p.emit.shape)
     for rows in blocks.groups():
         begin, running = blocks.begin[rows], _running(blocks.length[rows])
@@ -111,8 +119,8 @@ def expected(flat: np.ndarray, starts: np.ndarray, p: Parameters, size: int = BL
         alpha = np.where(fresh[:, None], p.start, carried @ p.moves)
         alphas, emits, seen = [], [], []
         for t, n in enumerate(running):
-            symbol = flat[begin[:n] + t]
-            e = emit[symbol]
+            symbol = flat.take(begin[:n] + t)
+            e = emit.take(symbol, axis=0)
             alpha = (alpha if t == 0 else alpha[:n] @ p.moves) * e
             if t % SCALED == 0:
                 alpha = _unit(alpha)
@@ -122,9 +130,11 @@ def expected(flat: np.ndarray, starts: np.ndarray, p: Parameters, size: int = BL
         ahead = np.empty((0, k), emit.dtype)
         for t in range(len(running) - 1, -1, -1):
             n, on = running[t], len(ahead)
-            full = np.concatenate([ahead @ p.moves.T, after[rows[on:n]]])
+            full = ahead @ back
+            if on < n:
+                full = np.concatenate([full, after[rows[on:n]]])
             both = alphas[t] * full
-            total = both.sum(axis=1, keepdims=True)
+            total = _totals(both)
             if on:
                 moves += alphas[t][:on].T @ (ahead / total[:on])
             alphas[t] = both / total
@@ -153,11 +163,11 @@ def log_likelihood(flat: np.ndarray, starts: np.ndarray, p: Parameters, size: in
         begin, running = blocks.begin[rows], _running(blocks.length[rows])
         alpha = np.where((blocks.nth[rows] == 0)[:, None], start, before[rows] @ moves)
         for t, n in enumerate(running):
-            step = (alpha if t == 0 else alpha[:n] @ moves) * emit[flat[begin[:n] + t]]
+            step = (alpha if t == 0 else alpha[:n] @ moves) * emit.take(flat.take(begin[:n] + t), axis=0)
             ends = running[t + 1] if t + 1 < len(running) else 0
             # Scaled every few steps, and where a block ends.
             if t % SCALED == SCALED - 1:
-                scale = step.sum(axis=1, keepdims=True)
+                scale = _totals(step)
                 logs[rows[:n]] += np.log10(scale[:, 0])
                 step /= scale
             elif ends < n:
