@@ -29,7 +29,7 @@ BITS = 18
 WIDTH = 1 << BITS
 # The documented bound on labelled rows that the fit reads.
 FIT_ROWS = 50_000
-SHARD_ROWS, MOST_SHARDS = 2_000, 8
+SHARD_ROWS, MOST_SHARDS = 4_000, 8
 # Every row is learned from in each round; few rows are gone over more often, until so many steps are taken.
 ROUNDS, MOST_ROUNDS, STEPS = 6, 30, 30_000
 # Learning rate and its smoothing; weights below the first penalty are zero.
@@ -153,13 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn, name: str = "quality", most:
     rows = named(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.xxhash64("doc_id", "text").alias("turn"), F.col("label").cast("double").alias("label"), "text")
     spark = docs.sparkSession
-    table = written(rows.mapInArrow(sparse, "turn long, label double, place array<int>, value array<float>"), "training_rows")
-    number = table.count()
+    number = chosen.count()
     shards = min(MOST_SHARDS, 1 + number // SHARD_ROWS)
     shard = F.pmod(F.shiftright("turn", 7), F.lit(shards))
     # One file per shard in its order, dealt once; a shard is far below a row group, so a file is read as one stream.
     dealt = work_path(spark, "shards")
-    table.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "turn").write.partitionBy("shard").parquet(dealt)
+    features = rows.mapInArrow(sparse, "turn long, label double, place array<int>, value array<float>").withColumn("shard", shard)
+    features.repartition(shards, "shard").sortWithinPartitions("shard", "turn").drop("turn").write.partitionBy("shard").parquet(dealt)
     dealt_rows = spark.read.schema("label double, place array<int>, value array<float>, shard long").parquet(dealt)
     z, squares = np.zeros(WIDTH), np.zeros(WIDTH)
     for _ in range(max(ROUNDS, min(MOST_ROUNDS, STEPS // max(number, 1)))):
