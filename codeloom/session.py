@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators are planned for.  Window-free joins on hot keys
 # lean on the skew-join rewrite, so it is forced even where it adds a shuffle.
+WORK_SETTING = "spark.codeloom.work.dir"
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -35,6 +36,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "codeloom
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.codeloom.input.partitions", str(cores))
+        .config(WORK_SETTING, tempfile.mkdtemp(prefix="codeloom-work-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", str(not quiet).lower())
     )
@@ -46,16 +48,17 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "codeloom
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``, else of ``spark.codeloom.work.dir``.
+
+    The first is fixed when a session starts; the second can be set later.  Without either, one machine
+    uses a folder of its warehouse, and a cluster has to name one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_SETTING, None)
     if folder:
         return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir or {WORK_SETTING} to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/codeloom-work"
 
 
 def materialise(df: DataFrame) -> DataFrame:

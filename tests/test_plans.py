@@ -62,10 +62,7 @@ def test_parser_reads_only_what_it_needs(tables):
     assert "MapInArrow" in text and "Exchange" not in text
 
 
-SLOW = {"plan_edits", "analyze_routed", "coordinated_actions", "merge_stats", "all_findings"}
-
-
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     oracle = entry.oracle_sql()[name]
     got = canonical(entry.queries()[name](spark, FOLDER).toArrow())
