@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import checkpoint_folder
+
 # A word is a run of anything but these six ASCII characters.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -35,6 +36,16 @@ def named(docs: DataFrame, *names: str) -> DataFrame:
     return docs.toDF(*places).select(*[F.col(places[have.index(n)]).alias(n) for n in names])
 
 
+def on_plain_names(docs: DataFrame, roles: Iterable[str], stage: Callable[[DataFrame], DataFrame], added: Iterable[str] = ()) -> DataFrame:
+    """``stage`` run on ``docs`` whose other columns have plain names, so none can clash with its own or hold a dot.
+
+    The result has the columns of ``docs`` by their names again, then those that the stage adds.
+    """
+    roles, added = set(roles), list(added)
+    plain = [c if c in roles else f"other{i}" for i, c in enumerate(docs.columns)]
+    return stage(docs.toDF(*plain)).select(*plain, *added).toDF(*docs.columns, *added)
+
+
 def words_column(text: Column) -> Column:
     """The words of a text, in order."""
     return F.filter(F.split(text, WHITE_RUN), lambda w: w != "")
@@ -46,15 +57,8 @@ def id_remainder(name: str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only on one machine that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="codeloom-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder of ``spark.checkpoint.dir``, else that of ``spark.codeloom.work.dir``, which a running session can set."""
+    return checkpoint_folder(spark)
 
 
 def work_path(spark: SparkSession, name: str) -> str:

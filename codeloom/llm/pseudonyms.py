@@ -5,7 +5,8 @@ list of small numbers, each below its own radix. A keyed Feistel network swaps a
 its two halves; every step can be undone, so the whole is a permutation of the values of
 one format, and equal values get equal pseudonyms in every document. Card numbers keep a
 right Luhn digit, dates stay dates. Numbers that fail their check are left as they are.
-Card numbers are looked for in every part of a run of numbers, so a number beside one hides nothing.
+Card numbers are looked for in every part of a run of numbers, so a number beside one hides nothing;
+they need a card's form and an issuer's first digits, so plain numbers in a row stay.
 Null texts stay null; text without findings is returned unchanged.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import let
+from codeloom.llm.common import on_plain_names
 
 ROUNDS = 8
 # Days from 1900-01-01 to 2099-12-30: 73,048 = 184 * 397.
@@ -27,6 +29,18 @@ PHONE = r"(?<![\w+])(?:\+?\d{1,3}[ -]?)?\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w+])\
 OTHERS = "|".join((MAIL, ADDRESS, DATE, PHONE))
 CARD = rf"(?<!\w)(?=\d(?:[ -]?\d){{12}})(?!{MAIL})\d++(?!\w)(?:[ -](?!{OTHERS})\d++(?!\w))*+"
 CARD_DIGITS = (13, 19)
+# Sizes of the groups of a card number; the first is any unbroken one.
+CARD_FORMS = ((16,), (4, 6, 4), (4, 6, 5), (4, 4, 4, 4), (4, 4, 4, 4, 3))
+# First digits of card issuers, with the lengths that go with them.
+ISSUERS = "^(?:" + "|".join((
+    r"4(?:\d{12}|\d{15}|\d{18})",
+    r"(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}",
+    r"3[47]\d{13}",
+    r"3(?:0[0-5]|[68]\d|9\d)\d{11}",
+    r"35(?:2[89]|[3-8]\d)\d{12,15}",
+    r"6(?:011|4[4-9]\d|5\d\d|2\d\d)\d{12,15}",
+    r"(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15}",
+)) + ")$"
 # The look-ahead spares most positions the alternatives.
 NUMBERS = "(?=[0-9+(])(?:" + "|".join((ADDRESS, DATE, PHONE, CARD)) + ")"
 FOUND = f"{NUMBERS}|{MAIL}"
@@ -97,33 +111,39 @@ def tens(numbers: Column) -> Column:
     return F.transform(numbers, lambda _: F.lit(10))
 
 
-def card_spans(groups: Column) -> Column:
+def card_spans(groups: Column, marks: Column) -> Column:
     """Parts of a run of digit groups that are card numbers, as (at, count) of groups in order.
 
-    Every start and every length of 13 to 19 digits is tried; of parts that overlap, the one
-    of more digits is taken, then the first one.
+    A card is one group, or groups of a card's usual sizes with one kind of mark between; it has an issuer's first digits
+    with their length, and a right Luhn digit.  The run is read from left to right, and a
+    card begins after the one before it.
     """
-    least, most = CARD_DIGITS
-
-    def span(at: Column, count: Column) -> Column:
-        return let(F.array_join(F.slice(groups, at, count), ""), lambda ds: F.struct(
-            (-F.length(ds)).alias("shorter"), at.alias("at"), count.alias("count"),
-            (F.length(ds).between(least, most) & F.coalesce(luhn_sum(digits(ds)) % 10 == 0, F.lit(False))).alias("valid"),
-        ))
+    def count(at: Column) -> Column:
+        def fits(sizes: tuple[int, ...]) -> Column:
+            inner = [F.length(F.get(groups, at + i)) == n for i, n in enumerate(sizes)]
+            alike = [F.get(marks, at + i) == F.get(marks, at) for i in range(1, len(sizes) - 1)]
+            number = F.array_join(F.slice(groups, at + 1, len(sizes)), "")
+            checks = let(number, lambda ds: ds.rlike(ISSUERS) & (luhn_sum(digits(ds)) % 10 == 0))
+            whole = inner[0] if len(sizes) > 1 else F.length(F.get(groups, at)).between(*CARD_DIGITS)
+            for test in [*inner[1:], *alike]:
+                whole = whole & test
+            return F.when(F.coalesce(whole, F.lit(False)), F.coalesce(checks, F.lit(False))).otherwise(F.lit(False))
+
+        # Longer forms first.
+        out = F.lit(0)
+        for sizes in CARD_FORMS:
+            out = F.when(fits(sizes), F.lit(len(sizes))).otherwise(out)
+        return out
 
-    def from_start(at: Column) -> Column:
-        # A group has a digit at least.
-        last = F.least(F.lit(most), F.size(groups) - at + 1)
-        return F.filter(F.transform(F.sequence(F.lit(1), last), lambda count: span(at, count)), lambda s: s["valid"])
-
-    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), from_start)))
-    meets = lambda s, t: (s["at"] < t["at"] + t["count"]) & (t["at"] < s["at"] + s["count"])
-    return F.array_sort(F.aggregate(
-        found, F.array().cast("array<struct<at:int,count:int>>"),
-        lambda taken, s: F.when(F.exists(taken, lambda t: meets(s, t)), taken).otherwise(
-            F.concat(taken, F.array(F.struct(s["at"].alias("at"), s["count"].alias("count"))))
-        ),
-    ))
+    counts = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda at: F.struct((at + 1).alias("at"), count(at).alias("count")))
+    start = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<at:int,count:int>>").alias("spans"))
+    return F.aggregate(
+        F.filter(counts, lambda s: s["count"] > 0), start,
+        lambda state, s: F.when(s["at"] < state["end"], state).otherwise(F.struct(
+            (s["at"] + s["count"]).alias("end"), F.concat(state["spans"], F.array(s)).alias("spans"),
+        )),
+        lambda state: state["spans"],
+    )
 
 
 def cards_pseudonym(value: Column, key: str) -> Column:
@@ -142,7 +162,8 @@ def cards_pseudonym(value: Column, key: str) -> Column:
 
     parts = F.regexp_extract_all(value, F.lit(r"\d+|[ -]"), F.lit(0))
     groups = F.regexp_extract_all(value, F.lit(r"\d+"), F.lit(0))
-    return let(parts, lambda ps: let(card_spans(groups), lambda spans: rebuilt(ps, spans)))
+    marks = F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0))
+    return let(parts, lambda ps: let(card_spans(groups, marks), lambda spans: rebuilt(ps, spans)))
 
 
 def card_pseudonym(value: Column, key: str) -> Column:
@@ -228,7 +249,15 @@ def of_kind(found: Column, kind: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """``docs`` with personal values of ``column`` replaced, and counts per kind in ``pii_<kind>``."""
+    """``docs`` with personal values of ``column`` replaced, and counts per kind in ``pii_<kind>`` after its own columns.
+
+    Own columns stay as they are, also those whose names are like the counts'.
+    """
+    counts = [f"pii_{k}" for k in KINDS]
+    return on_plain_names(docs, [column], lambda rows: _rewritten_rows(rows, key, column), counts)
+
+
+def _rewritten_rows(docs: DataFrame, key: str, column: str) -> DataFrame:
     text = F.col(column)
 
     def rewritten(found: Column) -> Column:
@@ -246,8 +275,7 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
         F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0))
     )
     done = let(found, rewritten)
-    taken = [c for c in docs.columns if not c.startswith("pii_")]
-    result = docs.select(*[F.col(f"`{c}`") for c in taken], done.alias("pii_result"))
+    result = docs.select(*docs.columns, done.alias("pii_result"))
     count = lambda k: F.coalesce(F.col(f"pii_result.pii_{k}"), F.lit(0).cast("long")).alias(f"pii_{k}")
-    kept = [F.col("pii_result.text").alias(column) if c == column else F.col(f"`{c}`") for c in taken]
+    kept = [F.col("pii_result.text").alias(column) if c == column else c for c in docs.columns]
     return result.select(*kept, *[count(k) for k in KINDS])
