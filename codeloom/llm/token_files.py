@@ -27,9 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import pieces, work_path
+from codeloom.llm.common import named, pieces, work_path
 
 END_ID = 2
+# Planes of ids below 65,536; a larger vocabulary gets as many as its ids need.
 PLANES = 16
 BLOCK_BITS = 512
 # A shard is closed at the first document end after so many ids.
@@ -37,7 +38,7 @@ SHARD_TOKENS = 1 << 18
 # Encoded words, and runs of letters in them, that a worker remembers; later ones are encoded each time.
 CACHED_WORDS = 600_000
 SCHEMA = (
-    "part int, shard int, plane int, n_tokens long, zeros long, bits binary, ones binary, "
+    "part int, shard int, plane int, n_planes int, n_tokens long, zeros long, bits binary, ones binary, "
     "doc_ids array<long>, lengths array<long>"
 )
 # A word of plain letters with closing marks (no apostrophes) is encoded by its two runs.
@@ -94,10 +95,12 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def build_planes(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def build_planes(ids: np.ndarray, planes: int = PLANES) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(packed bits, ones before each block, zeros) of the planes from the highest bit down."""
     out = []
-    for k in range(PLANES - 1, -1, -1):
+    if len(ids) and int(ids.max()) >> planes:
+        raise ValueError(f"an id needs more than {planes} planes")
+    for k in range(planes - 1, -1, -1):
         bits = (ids & (1 << k)).astype(bool)
         packed = np.packbits(bits)
         per_byte = np.bitwise_count(packed)
@@ -135,7 +138,7 @@ class WaveletMatrix:
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         for k, (_, _, zeros) in enumerate(self.planes):
             a, b = self._ones(k, lo), self._ones(k, hi)
-            lo, hi = (zeros + a, zeros + b) if value >> (PLANES - 1 - k) & 1 else (lo - a, hi - b)
+            lo, hi = (zeros + a, zeros + b) if value >> (len(self.planes) - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, value: int, at: int) -> int:
@@ -149,8 +152,8 @@ class WaveletMatrix:
         if nth >= hi - lo:
             return None
         at = lo + nth
-        for k in range(PLANES - 1, -1, -1):
-            bit, zeros = value >> (PLANES - 1 - k) & 1, self.planes[k][2]
+        for k in range(len(self.planes) - 1, -1, -1):
+            bit, zeros = value >> (len(self.planes) - 1 - k) & 1, self.planes[k][2]
             at = self._find(k, bit, at - zeros if bit else at)
         return at
 
@@ -166,29 +169,31 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: from the lowest plane up, each undoes its plane's order."""
-        ids = np.zeros(self.n, dtype=np.uint16)
-        for k in range(PLANES - 1, -1, -1):
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        ids = np.zeros(self.n, dtype=kind)
+        for k in range(len(self.planes) - 1, -1, -1):
             bits, _, zeros = self.planes[k]
             plane = np.unpackbits(bits, count=self.n).view(bool)
-            before = np.empty(self.n, dtype=np.uint16)
+            before = np.empty(self.n, dtype=kind)
             before[~plane] = ids[:zeros]
-            before[plane] = ids[zeros:] | np.uint16(1 << (PLANES - 1 - k))
+            before[plane] = ids[zeros:] | kind(1 << (len(self.planes) - 1 - k))
             ids = before
         return ids.astype(np.uint32)
 
 
-def shard_rows(part: int, shard: int, doc_ids: list, texts: list[bytes]) -> Iterator[dict]:
-    ids = np.frombuffer(b"".join(texts), dtype="<u4").astype(np.uint16)
-    base = {"part": part, "shard": shard, "n_tokens": len(ids), "zeros": None, "bits": None, "ones": None, "doc_ids": None, "lengths": None}
+def shard_rows(part: int, shard: int, doc_ids: list, texts: list[bytes], planes: int = PLANES) -> Iterator[dict]:
+    ids = np.frombuffer(b"".join(texts), dtype="<u4")
+    ids = ids.astype(np.uint16) if planes <= 16 else ids
+    base = {"part": part, "shard": shard, "n_planes": planes, "n_tokens": len(ids), "zeros": None, "bits": None, "ones": None, "doc_ids": None, "lengths": None}
     yield base | {"plane": -1, "doc_ids": doc_ids, "lengths": [len(t) // 4 for t in texts]}
-    for k, (bits, ones, zeros) in enumerate(build_planes(ids)):
+    for k, (bits, ones, zeros) in enumerate(build_planes(ids, planes)):
         yield base | {"plane": k, "zeros": zeros, "bits": bits.tobytes(), "ones": ones.tobytes()}
 
 
 def encoded(path: str):
     """Sorted documents of one partition to rows of shards."""
     schema = pa.schema([
-        ("part", pa.int32()), ("shard", pa.int32()), ("plane", pa.int32()), ("n_tokens", pa.int64()), ("zeros", pa.int64()),
+        ("part", pa.int32()), ("shard", pa.int32()), ("plane", pa.int32()), ("n_planes", pa.int32()), ("n_tokens", pa.int64()), ("zeros", pa.int64()),
         ("bits", pa.binary()), ("ones", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
     ])
     end = np.array([END_ID], dtype="<u4").tobytes()
@@ -196,9 +201,10 @@ def encoded(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, size = TaskContext.get().partitionId(), 0, 0
         doc_ids, texts, encoder = [], [], WordEncoder.of(path)
+        planes = max(PLANES, (encoder.whole.get_vocab_size() - 1).bit_length())
 
         def closed() -> Iterator[pa.RecordBatch]:
-            for row in shard_rows(part, shard, doc_ids, texts):
+            for row in shard_rows(part, shard, doc_ids, texts, planes):
                 yield pa.RecordBatch.from_pylist([row], schema)
 
         for batch in pieces(batches):
@@ -221,7 +227,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> str:
     """Encode all documents in ascending ``doc_id`` order into shard files under ``path``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
+    ordered = named(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(
         parts, F.col("doc_id").asc_nulls_first()
     ).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(encoded(tokenizer), SCHEMA).write.option("compression", "zstd").parquet(path)
@@ -262,7 +268,7 @@ def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 planes, head = [], row
             else:
                 planes.append((row["bits"], row["ones"], row["zeros"]))
-                if row["plane"] == PLANES - 1:
+                if row["plane"] == row["n_planes"] - 1:
                     yield documents()
 
 
