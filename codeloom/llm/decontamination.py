@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import pieces, tune, written
+from codeloom.llm.common import named, on_plain_names, pieces, tune, written
 
 ERROR_RATE = 0.08
 # Pieces are at least so long; the budget shrinks for short items.
@@ -181,10 +181,11 @@ def same(left: str, right: str) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per ``doc_id``: contaminated, n_items, least distance, and the matches."""
     tune(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = named(docs, "doc_id", "text")
+    kind = texts.schema["doc_id"].dataType.simpleString()
     found = None
     for block in blocks(benchmark):
-        one = texts.mapInArrow(searched(block), f"doc_id long, hits {HITS}").filter("size(hits) > 0")
+        one = texts.mapInArrow(searched(block), f"doc_id {kind}, hits {HITS}").filter("size(hits) > 0")
         found = one if found is None else found.unionByName(one)
     ids = texts.select("doc_id").distinct()
     if found is None:
@@ -216,6 +217,10 @@ def clean(block: tuple[tuple[int, str], ...]):
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; each row is judged by its own text."""
     tune(docs.sparkSession)
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(clean(block), docs.schema)
-    return docs
+
+    def without(rows: DataFrame) -> DataFrame:
+        for block in blocks(benchmark):
+            rows = rows.mapInArrow(clean(block), rows.schema)
+        return rows
+
+    return on_plain_names(docs, ["text"], without)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import let
-from codeloom.llm.common import text_or_empty, words_column, written
+from codeloom.llm.common import named, on_plain_names, text_or_empty, words_column, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 512
@@ -30,7 +30,7 @@ SEED = 20240
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words_column(text_or_empty())).cast("long").alias("size"))
+    return named(docs, "doc_id", "source", "text").select("doc_id", "source", F.size(words_column(text_or_empty())).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -191,6 +191,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     taken stand in order, with single blanks.  Texts taken more than once follow each other after a line feed, so that
     ``doc_id`` stays unique; ``n_chars`` is counted anew.
     """
+    roles = ["doc_id", "source", "text", "n_chars"]
+    return on_plain_names(docs, roles, lambda rows: _mixed_rows(rows, **options))
+
+
+def _mixed_rows(docs: DataFrame, **options) -> DataFrame:
     _, _, takings = mix(docs, **options)
     # All passes but the last hold every word, so the words taken say which pass holds a part.
     passes = F.floor(F.col("taken") / F.col("size")).cast("long")

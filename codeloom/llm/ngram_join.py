@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from codeloom.llm.common import Words, as_long, lists, mixed, pieces, tune, written
+from codeloom.llm.common import Words, as_long, lists, mixed, named, on_plain_names, pieces, tune, written
 from codeloom.llm.components import components
 
 SHINGLE = 5
@@ -42,7 +42,6 @@ LIGHT_LIMIT = 10
 # Shingles known to be frequent come last in every set; only speed depends on them.
 FREQUENT = 1 << 16
 FREQUENT_IN_PIECE, COUNTED_TOGETHER = 4, 4_000_000
-LEADER_ROUNDS = 1
 # Ids of classes to verify are broadcast up to this count (8 MB), and shuffled beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -242,9 +241,12 @@ def ordered_pairs(df: DataFrame) -> DataFrame:
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, and the class of its set (``node``)."""
+    """Per document: doc_id, n_shingles, component_id, the class of its set (``node``) and its component's smallest class (``root``).
+
+    Ids must be whole numbers, as the component is named by the smallest.
+    """
     spark = tune(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = named(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     facts = written(texts.mapInArrow(described, "doc_id long, n long, node long, is_doc boolean"), "described")
     members = facts.filter("is_doc").drop("is_doc")
     often = facts.filter("not is_doc").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()
@@ -258,7 +260,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     listed = written(entries.join(shared, "key").distinct(), "listed")
 
     links, tried, roots = None, None, None
-    for k in range(LEADER_ROUNDS + 1):
+    for k in range(2):
         current = listed if roots is None else listed.join(roots, "node", "left")
         root = F.col("node") if roots is None else F.coalesce("root", "node")
         current = current.withColumn("root", root)
@@ -270,13 +272,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
         outside = current.join(leaders, "key").filter("root <> head").select(
             "key", F.col("node").alias("x"), "n", "at", "root", "y", "m", "to", "head"
         )
-        if k < LEADER_ROUNDS and k:
-            # Those that are not with the leader choose the next leader among themselves.
-            heads = outside.groupBy("key").agg(F.min(F.struct("at", "n", "x", "root")).alias("h")).select(
-                "key", F.col("h.x").alias("y"), F.col("h.n").alias("m"), F.col("h.at").alias("to"), F.col("h.root").alias("head")
-            )
-            outside = outside.select("key", "x", "n", "at", "root").join(heads, "key").filter("root <> head")
-        elif k == LEADER_ROUNDS:
+        if k:
             rest = current.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("head"))
             outside = outside.select("key", "x", "n", "at", "root").join(rest, "key").filter("root <> head")
         pairs = ordered_pairs(outside.filter(may_link("n", "at", "m", "to")))
@@ -286,15 +282,15 @@ def linked_components(docs: DataFrame) -> DataFrame:
         new = written(verified(pairs, classes, texts), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
-        if k < LEADER_ROUNDS or not new.isEmpty():
+        if not k or not new.isEmpty():
             roots = written(components(links), "roots")
 
-    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "root").select(F.col("node").alias("of"), "component_id")
-    out = members.join(named, F.col("node") == F.col("of"), "left")
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = rooted.join(names, "root").select(F.col("node").alias("of"), "component_id", "root")
+    out = members.join(rooted, F.col("node") == F.col("of"), "left")
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node"
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node", "root"
     )
 
 
@@ -313,22 +309,24 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     Each row counts by its own set, also where rows share an id.  Rows without words are
     kept; rows without an id are kept too, as no group can name them.
     """
-    found = linked_components(docs).select(F.col("doc_id").alias("dup_id"), "component_id", "node").filter("dup_id is not null")
-    # A component is named by one of its ids; of that id's classes in it, the first one stays.
+    return on_plain_names(docs, ["doc_id", "text"], _first_of_components)
+
+
+def _first_of_components(docs: DataFrame) -> DataFrame:
+    found = linked_components(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "dup_id")
+    # A component is named by one of its ids; of that id's classes in it, the first one stays.  An id may name several components.
+    stays = found.filter("component_id = dup_id and node is not null").groupBy("dup_id", "root").agg(F.min("node").alias("dup_stays"))
+    stays = written(stays.select("dup_id", "dup_stays"), "stays")
     verdicts = written(found.groupBy("dup_id").agg(
-        F.min(F.when(F.col("component_id") == F.col("dup_id"), F.col("node"))).alias("stays"),
-        F.count(F.when(F.col("node").isNull(), 1)).alias("wordless"), F.count("*").alias("rows"),
-    ).withColumn("gone", F.col("stays").isNull() & (F.col("wordless") == 0)).filter("gone or rows > 1"), "verdicts")
+        F.count("*").alias("rows"), F.count(F.when(F.col("node").isNull() | (F.col("component_id") == F.col("dup_id")), 1)).alias("standing"),
+    ).filter("standing = 0 or rows > 1"), "verdicts")
     same = F.col("doc_id") == F.col("dup_id")
     kept = docs.join(verdicts.select("dup_id"), same, "left_anti")
-    several = verdicts.filter("not gone").select("dup_id", "stays")
+    several = verdicts.filter("standing > 0").select("dup_id")
     if several.isEmpty():
         return kept
-    chosen = docs.join(several.withColumnRenamed("stays", "dup_stays"), same).select(*docs.columns, "dup_stays")
-    classed = chosen.mapInArrow(with_class, StructType(
-        [*docs.schema.fields, StructField("dup_stays", LongType()), StructField("dup_class", LongType())]
-    ))
-    worded = classed.filter(F.col("dup_class") == F.col("dup_stays")).withColumn(
-        "dup_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    ).filter("dup_nth = 1")
-    return kept.unionByName(worded.select(*docs.columns)).unionByName(classed.filter("dup_class is null").select(*docs.columns))
+    classed = docs.join(several, same, "left_semi").mapInArrow(with_class, StructType([*docs.schema.fields, StructField("dup_class", LongType())]))
+    standing = classed.join(stays, same & (F.col("dup_class") == F.col("dup_stays")), "left_semi")
+    # One of the rows that agree in id and set: combined before the shuffle, so a repeated row is no hot key.
+    one = standing.groupBy("doc_id", "dup_class").agg(F.min_by(F.struct(*docs.columns), "text").alias("row")).select("row.*")
+    return kept.unionByName(one).unionByName(classed.filter("dup_class is null").select(*docs.columns))

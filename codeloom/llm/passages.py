@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import let
-from codeloom.llm.common import Words, as_long, pieces, tune, written
+from codeloom.llm.common import Words, as_long, named, pieces, tune, written
 
 PASSAGE = 50
 RUN = 8
@@ -96,7 +96,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """Per document: its repeated spans and words, and the words that a document of smaller id has too."""
     tune(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    texts = docs.select(key.alias("doc_key"), "text")
+    texts = named(docs, "doc_id", "text").select(key.alias("doc_key"), "text")
     found = written(texts.mapInArrow(anchors, "run long, doc_key long").distinct(), "minimisers")
     shared = found.groupBy("run").agg(F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).filter("lo < hi").select("run")
     runs = found.join(shared, "run").groupBy("doc_key").agg(F.collect_list("run").alias("runs"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import let
-from codeloom.llm.common import WHITE, text_or_empty, words_column
+from codeloom.llm.common import WHITE, named, text_or_empty, words_column
 
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of the four languages.
@@ -100,7 +100,7 @@ def holds(rule: Rule) -> Column:
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: the counts, ``base_failed``, the names of broken rules and ``kept``."""
-    counted = docs.select("doc_id", measures(text_or_empty()).alias("m")).select("doc_id", "m.*")
+    counted = named(docs, "doc_id", "text").select("doc_id", measures(text_or_empty()).alias("m")).select("doc_id", "m.*")
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     broken = F.filter(F.array(*[F.when(~holds(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     return counted.select(

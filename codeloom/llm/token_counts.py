@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import pieces
+from codeloom.llm.common import named, pieces
 
 # Lengths are summed in groups of so many; only group totals meet in one window.
 GROUP = 256
@@ -53,7 +53,7 @@ def lengths(path: str):
 def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per occurring length, see the module's text."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    counted = docs.select("text").mapInArrow(lengths(tokenizer), "n_tokens long, n_docs long")
+    counted = named(docs, "text").mapInArrow(lengths(tokenizer), "n_tokens long, n_docs long")
     table = counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn(
         "tokens", F.col("n_tokens") * F.col("n_docs")
     ).withColumn("grp", F.floor(F.col("n_tokens") / GROUP))

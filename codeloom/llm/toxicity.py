@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from codeloom.llm.common import id_remainder, pieces, text_or_empty, tune, written
+from codeloom.llm.common import id_remainder, named, on_plain_names, pieces, text_or_empty, tune, written
 
 # The documented bound on labelled rows that the fit reads.
 FIT_ROWS = 20_000
@@ -164,7 +164,7 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int
     """text and toxic of at most ``rows`` training rows; rows equal in whole text and label are one."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(id_remainder("doc_id", modulus) != held_out)
     known = known.groupBy(F.col("doc_id").alias("labelled_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
+    texts = named(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
     # Only ids and digests are shuffled; the limit counts rows that are there and differ.
     found = texts.select("doc_id", "digest").join(known, F.col("doc_id") == F.col("labelled_id"))
     distinct = found.groupBy("digest", "toxic").agg(F.min("doc_id").alias("labelled_id"))
@@ -229,7 +229,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), n_hits and predicted (1 from ``THRESHOLD`` on)."""
     tune(docs.sparkSession)
-    rows = with_scores(docs.select("doc_id", "text"), model)
+    rows = with_scores(named(docs, "doc_id", "text"), model)
     score = F.col("tox_score")
     return rows.select("doc_id", score.alias("score"), F.col("tox_hits").alias("n_hits"), (score >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -237,4 +237,4 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the toxic ones; each row is judged by its own text."""
     tune(docs.sparkSession)
-    return with_scores(docs, model).filter(F.col("tox_score") < THRESHOLD).drop("tox_score", "tox_hits")
+    return on_plain_names(docs, ["text"], lambda rows: with_scores(rows, model).filter(F.col("tox_score") < THRESHOLD))
