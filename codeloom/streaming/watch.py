@@ -1,21 +1,20 @@
-"""Change events: debounced re-analysis and running queue state.
+"""Change events, debounce and re-analysis.
 
-Everything that has to be exact across batches goes through ``foreachBatch`` into
-folders named by batch id, so a batch that is run again after a failure overwrites its
-own output.
+What a batch writes goes through ``foreachBatch`` into folders named by batch id, so a batch
+that is run again after a failure overwrites its own output.  State that lives across
+batches is in ``codeloom.streaming.state``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from codeloom.functions import vocab
-from codeloom.operators import history, routing
+from codeloom.operators import history
 from codeloom.operators.skew import sessionise
 from codeloom.schemas import FILE_EVENTS
 from codeloom.session import checkpoint_folder
@@ -72,17 +71,6 @@ def _batch_folder(root: str, name: str, batch_id: int) -> str:
     return f"{root}/{name}/batch_id={batch_id}"
 
 
-def read_batches(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
-    """All rows written so far, or only those of batches before the given one."""
-    try:
-        rows = spark.read.parquet(f"{root}/{name}")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return rows if before is None else rows.filter(F.col("batch_id") < before)
-
-
 def on_change(
     sessions: DataFrame, files: DataFrame, analyse: Callable[[DataFrame], DataFrame], output: str, checkpoint: str | None = None
 ) -> DataStreamWriter:
@@ -113,62 +101,3 @@ def on_change(
 def dedup_bounded(reviews: DataFrame, horizon: str = "1 day") -> DataFrame:
     """Drop repeats of a (type, target) within a time horizon, inside the stream."""
     return reviews.withWatermark("created_at", horizon).dropDuplicatesWithinWatermark(["action_type", "target"])
-
-
-def accept_new_reviews(batch: DataFrame, accepted: DataFrame | None, decisions: DataFrame | None) -> DataFrame:
-    """Exact rule: a (type, target) is accepted unless an undecided review for it exists."""
-    rest = [c for c in batch.columns if c not in ("action_type", "target")]
-    fresh = batch.groupBy("action_type", "target").agg(
-        F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("r")
-    ).select("action_type", "target", "r.*").select(*batch.columns)
-    if accepted is None:
-        return fresh
-    still_open = accepted.select("id", "action_type", "target")
-    if decisions is not None:
-        still_open = still_open.join(decisions.select(F.col("review_id").alias("id")), "id", "left_anti")
-    return fresh.join(still_open.select("action_type", "target"), ["action_type", "target"], "left_anti")
-
-
-def dedup_open_reviews(
-    reviews: DataFrame, output: str, decisions: Callable[[], DataFrame | None] = lambda: None, checkpoint: str | None = None
-) -> DataStreamWriter:
-    """Stream sink that keeps one open review per (type, target) until it is decided."""
-    folder = checkpoint or f"{checkpoint_folder(reviews.sparkSession)}/dedup_open_reviews"
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        accepted = read_batches(batch.sparkSession, output, "accepted", before=batch_id)
-        new = accept_new_reviews(batch, accepted, decisions())
-        new.write.mode("overwrite").parquet(_batch_folder(output, "accepted", batch_id))
-
-    return reviews.writeStream.foreachBatch(run).option("checkpointLocation", folder)
-
-
-def running_rejection_rate(
-    decisions: DataFrame, output: str, k: int = vocab.HISTORY_ROWS, checkpoint: str | None = None
-) -> DataStreamWriter:
-    """Keep the last k decisions per context up to date.
-
-    A batch is cut to k rows per context before it is shuffled, then merged with the kept
-    ones: the state is at most k rows for each context, whatever the traffic.
-    """
-    folder = checkpoint or f"{checkpoint_folder(decisions.sparkSession)}/rejection_rate"
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        recent = routing.recent_decisions(batch, k).drop("rank")
-        earlier = read_batches(spark, output, "recent", before=batch_id)
-        if earlier is not None:
-            last = earlier.agg(F.max("batch_id")).first()[0]
-            if last is not None:
-                kept = earlier.filter(F.col("batch_id") == last).drop("batch_id")
-                recent = routing.recent_decisions(recent.unionByName(kept), k).drop("rank")
-        recent.write.mode("overwrite").parquet(_batch_folder(output, "recent", batch_id))
-
-    return decisions.writeStream.foreachBatch(run).option("checkpointLocation", folder)
-
-
-def current_rates(spark: SparkSession, output: str, k: int = vocab.HISTORY_ROWS) -> DataFrame:
-    """Rejection rates from the newest kept state."""
-    state = read_batches(spark, output, "recent")
-    last = state.agg(F.max("batch_id").alias("batch_id"))
-    return routing.rejection_rate(state.join(last, "batch_id", "left_semi").drop("batch_id"), k)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.session import checkpoint_folder
-from codeloom.streaming import watch
+from codeloom.streaming import state, watch
 from suite.history_queries import _SESSIONS, GAP_SECONDS
 from suite.registry import query
 
-LATENESS_SECONDS = 600
+IDLE_SECONDS = 3600
+STREAM_PARTS = 3
 
 
 def _stream(t, name: str) -> DataFrame:
@@ -30,20 +32,53 @@ def _run(writer) -> None:
     running.awaitTermination()
 
 
-@query("file_events", f"""
-    WITH {_SESSIONS}
-    SELECT project_id, session_start, n_events FROM sessions
-    WHERE fires_at <= (SELECT max(ts) FROM file_events WHERE kind <> 'deleted') - INTERVAL {LATENESS_SECONDS} SECOND""")
+def _run_timed(writer, rows: int) -> None:
+    """Run until all rows have come in; streams with timers on the clock don't end by themselves."""
+    running = writer.trigger(processingTime="0 seconds").start()
+    try:
+        while running.isActive and sum(p.numInputRows for p in running.recentProgress) < rows:
+            time.sleep(0.2)
+        if running.exception() is not None:
+            raise running.exception()
+    finally:
+        running.stop()
+
+
+def _in_parts(t, rows: DataFrame, part, stream, timed: bool = False) -> str:
+    """Run a stream over the rows part after part, started anew from its checkpoint each time; its folder.
+
+    ``stream`` makes the rows that go to the sink of the rows that come in.
+    """
+    out = _folder(t, "parts")
+    rows.withColumn("part", part).write.partitionBy("part").parquet(f"{out}/all")
+    for number in range(STREAM_PARTS):
+        arriving = t.spark.read.parquet(f"{out}/all").filter(F.col("part") == number).drop("part")
+        arriving.write.mode("append").parquet(f"{out}/in")
+        found, mode = stream(t.spark.readStream.schema(rows.schema).parquet(f"{out}/in"))
+        sink = found.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state")
+        if mode == "append":
+            sink = sink.format("parquet").option("path", f"{out}/rows")
+            _run_timed(sink, arriving.count()) if timed else _run(sink)
+        else:
+            _run(sink.format("noop"))
+    return out
+
+
+def _period(column: str, first: str, days: int):
+    """Number of the period that a time is in; the last one has no end."""
+    passed = F.floor(F.datediff(F.col(column).cast("date"), F.to_date(F.lit(first))) / days)
+    return F.greatest(F.lit(0), F.least(F.lit(STREAM_PARTS - 1), passed)).cast("int")
+
+
+@query("file_events", f"WITH {_SESSIONS} SELECT project_id, session_start, n_events FROM sessions")
 def debounce_stream(t):
-    """Bursts that the watermark has closed; later ones wait for more events."""
-    kind = F.when(F.col("event_type") == "view", "modified").when(F.col("event_type") == "click", "created")
-    events = _stream(t, "events").select(
-        F.col("user_id").alias("project_id"), F.lit("m.py").alias("path"), kind.alias("kind"), F.lit(False).alias("is_dir"),
-        F.col("ts").cast("timestamp").alias("ts"))
-    bursts = watch.debounce(watch.python_changes(events), f"{GAP_SECONDS} seconds", f"{LATENESS_SECONDS} seconds")
-    out = _folder(t, "debounce")
-    _run(bursts.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append"))
-    return t.spark.read.parquet(f"{out}/rows").select("project_id", F.col("session_start").cast("timestamp_ntz"), "n_events")
+    """All bursts: those a later event has closed, and those still open in the state."""
+    first, days = t.file_events.agg(F.min("ts").cast("date").cast("string"), F.ceil((F.datediff(F.max("ts"), F.min("ts")) + 1) / STREAM_PARTS)).first()
+    out = _in_parts(t, t.file_events, _period("ts", first, days), lambda rows: (
+        state.debounce_timed(watch.python_changes(rows), GAP_SECONDS, IDLE_SECONDS), "append"), timed=True)
+    bursts = t.spark.read.parquet(f"{out}/rows").select("project_id", "session_start", "n_events").unionByName(
+        state.open_bursts(t.spark, f"{out}/state").drop("last_event"))
+    return bursts.select("project_id", F.col("session_start").cast("timestamp_ntz"), "n_events")
 
 
 @query("decisions", """
@@ -52,15 +87,43 @@ def debounce_stream(t):
           QUALIFY row_number() OVER (PARTITION BY action_type, context_hash ORDER BY created_at DESC, id DESC) <= 10)
     GROUP BY action_type, context_hash""")
 def rejection_rate_stream(t):
-    decided = t.decisions_of(_stream(t, "orders")).filter(F.col("was_approved").isNotNull())
-    out = _folder(t, "rates")
-    _run(watch.running_rejection_rate(decided, out, checkpoint=f"{out}/state"))
-    return watch.current_rates(t.spark, out).select("action_type", "context_hash", "n_decisions", "n_rejected")
+    """Decisions come in three batches that are not in order of time; the state holds the last ten of each context."""
+    part = F.pmod(F.xxhash64("id"), F.lit(STREAM_PARTS)).cast("int")
+    out = _in_parts(t, t.decisions, part, lambda rows: (state.last_decisions(rows), "update"))
+    return state.current_rates(t.spark, f"{out}/state").select("action_type", "context_hash", "n_decisions", "n_rejected")
 
 
 @query("queue", """
     SELECT id, action_type, target FROM queue QUALIFY row_number() OVER (PARTITION BY action_type, target ORDER BY created_at, id) = 1""")
 def open_reviews_stream(t):
-    out = _folder(t, "open_reviews")
-    _run(watch.dedup_open_reviews(t.queue_of(_stream(t, "lineitem")), out, checkpoint=f"{out}/state"))
-    return t.spark.read.parquet(f"{out}/accepted").select("id", "action_type", "target")
+    out, queue = _folder(t, "open_reviews"), t.queue_of(_stream(t, "lineitem"))
+    taken = state.open_reviews(queue, queue.filter(F.lit(False)).withColumnRenamed("id", "review_id"))
+    _run(taken.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state"))
+    return t.spark.read.parquet(f"{out}/rows").select("id", "action_type", "target")
+
+
+@query("queue", """
+    WITH RECURSIVE asked AS (
+        SELECT id, action_type, CAST(owner AS VARCHAR) AS target, true AS is_review, CAST(created_at AS DATE) AS at FROM queue
+        UNION ALL SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), q.action_type, CAST(l_suppkey AS VARCHAR), false, CAST(l_shipdate AS DATE) + CAST(30 + l_partkey % 60 AS INT)
+        FROM lineitem JOIN queue q ON q.id = concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE l_returnflag <> 'N'
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY action_type, target ORDER BY at, is_review, id) AS n FROM asked
+    ), walked AS (
+        SELECT action_type, target, n, id, is_review AS taken, CASE WHEN is_review THEN id END AS now FROM numbered WHERE n = 1
+        UNION ALL
+        SELECT e.action_type, e.target, e.n, e.id, e.is_review AND w.now IS NULL,
+            CASE WHEN e.is_review AND w.now IS NULL THEN e.id WHEN NOT e.is_review AND w.now = e.id THEN NULL ELSE w.now END
+        FROM walked w JOIN numbered e ON e.action_type = w.action_type AND e.target = w.target AND e.n = w.n + 1
+    )
+    SELECT id, action_type, target FROM walked WHERE taken""")
+def decided_reviews_stream(t):
+    """Reviews per owner and decisions on them in three periods; a decision frees its target for the next review."""
+    items = t.table("lineitem")
+    queue = t.queue_of(items).select("id", "action_type", F.col("owner").cast("string").alias("target"), F.col("created_at").cast("date").alias("created_at"))
+    decided = t.queue_of(items.filter("l_returnflag <> 'N'").withColumn("l_shipdate", F.date_add("l_shipdate", (30 + F.col("l_partkey") % 60).cast("int"))))
+    decided = decided.select("id", "action_type", F.col("owner").cast("string").alias("target"), "created_at")
+    both = queue.withColumn("is_review", F.lit(True)).unionByName(decided.withColumn("is_review", F.lit(False)))
+    out = _in_parts(t, both, _period("created_at", "1995-01-01", 850), lambda rows: (state.open_reviews(
+        rows.filter("is_review"), rows.filter("not is_review").withColumnRenamed("id", "review_id")), "append"))
+    return t.spark.read.parquet(f"{out}/rows").select("id", "action_type", "target")

@@ -1,14 +1,16 @@
 """Streams give what the batch operators give."""
 
+import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import routing
 from codeloom.schemas import FILE_EVENTS
 from codeloom.sources import tables as stored
-from codeloom.streaming import watch
+from codeloom.streaming import state, watch
 
 START = datetime(2024, 1, 1)
 
@@ -74,35 +76,67 @@ def test_change_triggers_analysis_and_one_notification(spark, tmp_path):
 
 
 def test_open_reviews_stay_unique_until_decided(spark, tmp_path):
-    schema = "id string, action_type string, target string, created_at timestamp"
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    decided: list[str] = []
-
-    def decisions():
-        return spark.createDataFrame([(d,) for d in decided], "review_id string") if decided else None
+    schema = "id string, review_id string, action_type string, target string, created_at timestamp"
+    source, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    clock = iter(range(1000))
 
     def arrive(*rows):
-        spark.createDataFrame([(i, "fix_security", t, START + timedelta(seconds=n)) for n, (i, t) in enumerate(rows)], schema).coalesce(1).write.mode("append").parquet(source)
+        data = [(i if new else None, None if new else i, "fix_security", t, START + timedelta(seconds=next(clock))) for new, i, t in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        run(watch.dedup_open_reviews(stream, out, decisions, str(tmp_path / "cp")))
+        taken = state.open_reviews(stream.filter("id is not null"), stream.filter("review_id is not null"))
+        run(taken.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).outputMode("append"))
+
+    def open_now():
+        return sorted(r[0] for r in spark.read.format("statestore").load(cp).select("value.groupState.id").collect())
 
-    arrive(("1", "x"), ("2", "x"), ("3", "y"))
-    arrive(("4", "x"))
-    decided.append("1")
-    arrive(("5", "x"))
-    assert sorted(r.id for r in spark.read.parquet(f"{out}/accepted").collect()) == ["1", "3", "5"]
+    arrive((True, "1", "x"), (True, "2", "x"), (True, "3", "y"))
+    assert open_now() == ["1", "3"]
+    arrive((True, "4", "x"), (False, "2", "x"), (True, "6", "x"))
+    arrive((False, "1", "x"))
+    assert open_now() == ["3"]
+    arrive((True, "5", "x"), (False, "5", "x"), (True, "7", "x"), (False, "3", "y"), (False, "7", "x"))
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "3", "5", "7"]
+    assert open_now() == []
 
 
 def test_running_rates_equal_batch_rates(spark, tmp_path):
     schema = "id long, action_type string, context_hash string, was_approved boolean, created_at timestamp"
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    source, cp = str(tmp_path / "in"), str(tmp_path / "cp")
     rows = [(i, "fix_security", "h" if i % 3 else "g", i % 4 != 0, START + timedelta(seconds=(i * 37) % 100)) for i in range(90)]
     for part in range(3):
         spark.createDataFrame(rows[part * 30:(part + 1) * 30], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        run(watch.running_rejection_rate(stream, out, 10, str(tmp_path / "cp")))
-    batch = routing.rejection_rate(spark.createDataFrame(rows, schema), 10)
-    assert sorted(map(tuple, watch.current_rates(spark, out, 10).collect())) == sorted(map(tuple, batch.collect()))
+        run(state.last_decisions(stream, 10, parts=2).writeStream.format("noop").outputMode("update").option("checkpointLocation", cp))
+        seen = spark.createDataFrame(rows[:(part + 1) * 30], schema)
+        assert sorted(map(tuple, state.current_rates(spark, cp, 10).collect())) == sorted(map(tuple, routing.rejection_rate(seen, 10).collect()))
+    assert state.kept_decisions(spark, cp).count() <= 2 * 2 * 10
+
+
+def test_a_timer_closes_the_last_burst(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("p", "a.py", s) for s in (0, 10, 35, 65, 200, 230)] + [("q", "b.py", 5)]
+    events(spark, rows).coalesce(1).write.parquet(source)
+    stream = state.debounce_timed(watch.read_file_events(spark, source), 30, idle_seconds=2)
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append")
+    query = writer.trigger(processingTime="1 second").start()
+    try:
+        end = time.monotonic() + 60
+        while time.monotonic() < end and not (query.lastProgress and query.lastProgress.stateOperators[0].numRowsRemoved):
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    got = {(r.project_id, r.session_start, r.fires_at, r.n_events) for r in spark.read.parquet(out).collect()}
+    batch = watch.debounce_table(watch.python_changes(events(spark, rows)), 30, "path", chunk_seconds=20)
+    assert got == {(r.project_id, r.session_start, r.fires_at, r.n_events) for r in batch.collect()}
+
+
+def test_bursts_join_in_any_order():
+    times = [0, 10, 35, 65, 200, 230, 500]
+    whole = state.bursts_of(np.array(times), 30)
+    for cut in range(1, len(times)):
+        parts = [*state.bursts_of(np.array(times[cut:]), 30), *state.bursts_of(np.array(times[:cut]), 30)]
+        assert state.joined_bursts(parts, 30) == whole == [(0, 65, 4), (200, 230, 2), (500, 500, 1)]
 
 
 def test_bounded_dedup_stream(spark, tmp_path):
