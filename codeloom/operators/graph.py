@@ -45,15 +45,20 @@ def resolve_import_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     return located.join(resolved, keys, "left").drop("folder")
 
 
-def star_import_sources(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Files that are imported with ``*``, looked up next to the importing file only."""
+def star_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(importing_file, source_module, path) of ``*`` imports, looked up next to the importing file only."""
+    keys = ["folder", "source_module"]
     stars = edges.filter(F.col("symbol_name") == "*").select(
-        text.parent_dir(F.col("importing_file")).alias("folder"), "source_module"
+        "importing_file", "source_module", text.parent_dir(F.col("importing_file")).alias("folder")
     ).distinct()
     candidates = import_candidates(F.col("folder"), F.col("folder"), F.col("source_module"))
-    return _first_existing(stars, files, candidates, ["folder", "source_module"]).select(
-        F.col("resolved_file").alias("path")
-    ).distinct()
+    found = _first_existing(stars.select(*keys).distinct(), files, candidates, keys)
+    return stars.join(found, keys).select("importing_file", "source_module", F.col("resolved_file").alias("path"))
+
+
+def star_import_sources(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that are imported with ``*``."""
+    return star_targets(edges, files).select("path").distinct()
 
 
 # ------------------------------------------------------------------ importers

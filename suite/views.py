@@ -270,4 +270,6 @@ def sql(views: str, body: str) -> str:
     if not ctes:
         return body
     stripped = body.strip()
+    if stripped.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     return f"WITH {ctes},\n{stripped[5:]}" if stripped.upper().startswith("WITH ") else f"WITH {ctes}\n{stripped}"
