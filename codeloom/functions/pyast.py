@@ -7,7 +7,9 @@ Everything after it is DataFrame work.
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 from collections import Counter
 
 from codeloom.functions import vocab
@@ -150,3 +152,62 @@ def _rows_of(text: str) -> list[dict]:
         row["line_text"] = lines[at - 1]
         row["blank_before"] = at > 1 and not lines[at - 2].strip()
     return rows
+
+
+_LAYOUT = {
+    tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.ENCODING,
+}
+
+
+def raw_counts(content: str | None) -> dict:
+    """Line counts of one file by its tokens; only ``loc`` and ``error`` where it cannot be read.
+
+    ``blank`` + ``sloc`` + ``single_comments`` + ``multi`` is ``loc``:
+
+    * blank: nothing but white space, also inside a string;
+    * single_comments: a comment alone, or a string statement within one line;
+    * multi: lines of a string statement over several lines;
+    * sloc: all others.
+
+    ``comments`` counts all comments, those behind code included, and no ``#`` inside a string.
+    ``lloc`` counts logical lines, however many physical lines one takes, and each further
+    statement that begins on the same one.
+    """
+    text = (content or "").replace("\r\n", "\n").replace("\r", "\n")
+    lines = text.split("\n")
+    if not lines[-1]:
+        lines.pop()
+    try:
+        return {"loc": len(lines), **_token_counts(text, lines)}
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
+        return {"loc": len(lines), "error": str(problem)}
+
+
+def _token_counts(text: str, lines: list[str]) -> dict:
+    tree = ast.parse(text)
+    kind = ["blank" if not line.strip() else "sloc" for line in lines]
+    logical_of: dict[int, int] = {}
+    comments, logical, tokens = 0, 0, []
+    for token in tokenize.generate_tokens(io.StringIO(text).readline):
+        if token.type == tokenize.COMMENT:
+            comments += 1
+            if not token.line[: token.start[1]].strip():
+                kind[token.start[0] - 1] = "single_comments"
+        elif token.type not in _LAYOUT:
+            tokens.append(token)
+        elif token.type == tokenize.NEWLINE and tokens:
+            first, last = tokens[0].start[0], tokens[-1].end[0]
+            logical_of.update((number, logical) for number in range(first, last + 1))
+            logical += 1
+            if all(t.type == tokenize.STRING for t in tokens):
+                for number in range(first, last + 1):
+                    if kind[number - 1] != "blank":
+                        kind[number - 1] = "single_comments" if first == last else "multi"
+            tokens = []
+    begun = Counter(logical_of[n.lineno] for n in ast.walk(tree) if isinstance(n, ast.stmt) and n.lineno in logical_of)
+    further = sum(n - 1 for n in begun.values())
+    counted = Counter(kind)
+    return {
+        "lloc": logical + further, "comments": comments,
+        **{name: counted[name] for name in ("sloc", "single_comments", "multi", "blank")},
+    }

@@ -138,21 +138,22 @@ def first_line_matching(content: Column, hint: Column, start: Column, skip_blank
 
 
 # ------------------------------------------------------------------ patterns
-def matches_with_lines(content: Column, pattern: str) -> Column:
-    """array<struct<k, match, line>> of every match over the whole text.
+def matches_with_lines(content: Column, pattern: str | Column) -> Column:
+    """array<struct<k, match, line>> of every match over the whole text; null without one.
 
     A match may span lines; its line is the one where it starts.  One more character is
     put before each match, so a line has grown by the number of matches that start in it.
     """
-    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    marked = F.split(F.regexp_replace(content, F.lit(pattern), F.lit("|$0")), "\n", -1)
+    pattern = F.lit(pattern)
+    found = F.regexp_extract_all(content, pattern, F.lit(0))
+    marked = F.split(F.regexp_replace(content, pattern, F.lit("|$0")), "\n", -1)
     grown = F.zip_with(marked, F.split(content, "\n", -1), lambda long, short: F.length(long) - F.length(short))
     starts = F.flatten(F.transform(grown, lambda n, i: F.array_repeat(i + 1, n)))
     rows = let(starts, lambda at: F.transform(
         found, lambda m, k: F.struct(k.alias("k"), m.alias("match"), F.get(at, k).alias("line"))
     ))
     # Lines are only split where something matched at all.
-    return F.when(F.regexp_like(content, F.lit(pattern)), rows)
+    return F.when(F.regexp_like(content, pattern), rows)
 
 
 def first_group(texts: list[Column], patterns: list[str]) -> Column:

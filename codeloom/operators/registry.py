@@ -28,6 +28,10 @@ def _documentation(files: DataFrame) -> DataFrame:
     return symbols.docstring_issues(symbols.extract_symbols(files))
 
 
+def _metrics(files: DataFrame) -> DataFrame:
+    return symbols.raw_metrics(files)
+
+
 def _python_files(files: DataFrame) -> DataFrame:
     return files.filter(F.endswith("path", F.lit(".py")) & path_is_kept(F.col("path"))).select("repo", "path")
 
@@ -37,7 +41,7 @@ TOOLS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "analyze_functions": _functions,
     "analyze_security": scan.security_scan,
     "analyze_documentation": _documentation,
-    "get_file_metrics": scan.file_metrics,
+    "get_file_metrics": _metrics,
     "get_python_files": _python_files,
 }
 
@@ -52,14 +56,6 @@ def run_tool(name: str, files: DataFrame) -> DataFrame:
     return TOOLS[name](files)
 
 
-def custom_rules(rules: DataFrame) -> list[tuple]:
-    """Pattern rules from a table (rule_id, regex, label, finding_type, severity).
-
-    Rules are a short configuration list and become literals of the plan.
-    """
-    return [tuple(r) for r in rules.select("rule_id", "regex", "label", "finding_type", "severity").toLocalIterator()]
-
-
 @udtf(returnType=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _SQL_COLUMNS))
 class SymbolTable:
     """``SELECT f.path, s.* FROM files f, LATERAL code_symbols(f.content) s``"""

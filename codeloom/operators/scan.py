@@ -125,19 +125,58 @@ def _tagger(position: int, rule: tuple):
     return tag
 
 
+_NO_MATCHES = "array<struct<k:int,match:string,line:int>>"
+_HIT = ["rule_id", "label", "finding_type", "severity", "rule_ord", "match_ord", "line"]
+
+
 def rule_hits(files: DataFrame, rules: list[tuple], mask: bool = True, with_code: bool = True) -> DataFrame:
     """Every match of every rule with its line; rules may overlap and are not merged.
 
     All rules run in one pass over the text.  ``mask`` hides quoted values in the code.
     """
-    content = F.col("content")
-    none = F.array().cast("array<struct<k:int,match:string,line:int>>")
+    none = F.array().cast(_NO_MATCHES)
     per_rule = [
-        F.transform(F.coalesce(text.matches_with_lines(content, rule[1]), none), _tagger(position, rule))
+        F.transform(F.coalesce(text.matches_with_lines(F.col("content"), rule[1]), none), _tagger(position, rule))
         for position, rule in enumerate(rules)
     ]
-    columns = ["repo", "path", "rule_id", "label", "finding_type", "severity", "rule_ord", "match_ord", "line"]
-    found = F.flatten(F.array(*per_rule))
+    return _hit_rows(files, F.flatten(F.array(*per_rule)), mask, with_code)
+
+
+def table_rule_hits(files: DataFrame, rules: DataFrame, mask: bool = True, with_code: bool = True) -> DataFrame:
+    """As ``rule_hits``, for rules that stay a table (rule_id, regex, label, finding_type, severity).
+
+    The table becomes one array value of the plan, numbered by ``rule_id``, so a plan of thousands of
+    rules is as short as that of one; it is configuration and does not grow with the files.  With a
+    column ``literal``, a text that a match must contain, files without it skip the pattern.  Rows
+    without id or pattern and repeated rows don't count; of one id with two patterns both do.
+    """
+    literal = F.col("literal") if "literal" in rules.columns else F.lit(None).cast("string")
+    rows = rules.filter("rule_id IS NOT NULL AND regex IS NOT NULL").select(
+        F.struct("rule_id", "regex", "label", "finding_type", "severity", literal.alias("literal")).alias("rule")
+    )
+    every = rows.agg(F.sort_array(F.collect_set("rule")).alias("rules")).scalar()
+    numbered = F.transform("_rules", lambda rule, i: F.struct(rule.alias("rule"), i.alias("rule_ord")))
+    content = F.col("content")
+
+    def may_match(entry: Column) -> Column:
+        wanted = entry["rule"]["literal"]
+        return (wanted.isNull() | F.contains(content, wanted)) & F.regexp_like(content, entry["rule"]["regex"])
+
+    def hits_of(entry: Column) -> Column:
+        rule = entry["rule"]
+        return F.transform(text.matches_with_lines(content, rule["regex"]), lambda match: F.struct(
+            rule["rule_id"].alias("rule_id"), rule["label"].alias("label"), rule["finding_type"].alias("finding_type"),
+            rule["severity"].alias("severity"), entry["rule_ord"].alias("rule_ord"), match["k"].alias("match_ord"), match["line"].alias("line"),
+        ))
+
+    found = F.flatten(F.transform(F.filter(numbered, may_match), hits_of))
+    return _hit_rows(files.select("repo", "path", "content", every.alias("_rules")), found, mask, with_code)
+
+
+def _hit_rows(files: DataFrame, found: Column, mask: bool, with_code: bool) -> DataFrame:
+    """One row per hit, with the source line where ``with_code``."""
+    content = F.col("content")
+    columns = ["repo", "path", *_HIT]
     if not with_code:
         return files.select("repo", "path", F.explode(found).alias("hit")).select("repo", "path", "hit.*").select(*columns)
 

@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions import rules, text, vocab
-from codeloom.functions.pyast import symbol_rows
+from codeloom.functions.pyast import raw_counts, symbol_rows
 from codeloom.operators.totals import side_by_side
-from codeloom.schemas import SYMBOLS
+from codeloom.schemas import RAW_METRICS, SYMBOLS
 
 BUCKETS = ["function", "class", "import", "assignment", "statement"]
 _COLUMNS = [f.name for f in SYMBOLS.fields]
 _FILES_PER_CHUNK = 64
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shape = to_arrow_schema(SYMBOLS)
-    for batch in batches:
-        for start in range(0, batch.num_rows, _FILES_PER_CHUNK):
-            files = batch.slice(start, _FILES_PER_CHUNK).to_pylist()
-            rows = [
-                {"repo": file["repo"], "path": file["path"], **row}
-                for file in files
-                for row in symbol_rows(file["content"])
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+def _per_file(schema: T.StructType, rows_of: Callable[[str | None], list[dict]]):
+    """An Arrow step that gives the rows of each file, a few files at a time."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(schema)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _FILES_PER_CHUNK):
+                files = batch.slice(start, _FILES_PER_CHUNK).to_pylist()
+                rows = [
+                    {"repo": file["repo"], "path": file["path"], **row}
+                    for file in files
+                    for row in rows_of(file["content"])
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    return step
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
@@ -38,7 +43,17 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     The only Python step: one pass over (repo, path, content) in the scan's own
     partitions.  Text goes no further, so it is never shuffled.
     """
-    return files.select("repo", "path", "content").mapInArrow(_parse_batches, SYMBOLS)
+    return files.select("repo", "path", "content").mapInArrow(_per_file(SYMBOLS, symbol_rows), SYMBOLS)
+
+
+def raw_metrics(files: DataFrame) -> DataFrame:
+    """Line counts of every file by its tokens: see ``pyast.raw_counts``.
+
+    One pass in the scan's own partitions.  A file that cannot be read has ``loc`` and ``error`` only;
+    a null text counts as empty.  ``scan.file_metrics`` gives the counts that need no tokens, without Python.
+    """
+    counted = _per_file(RAW_METRICS, lambda content: [raw_counts(content)])
+    return files.select("repo", "path", "content").mapInArrow(counted, RAW_METRICS)
 
 
 def _bucket(symbols: DataFrame, *names: str) -> DataFrame:

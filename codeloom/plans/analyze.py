@@ -122,6 +122,8 @@ def analyze(
     return {
         "symbols": index.symbols,
         "edges": index.edges,
+        "importers_of_file": graph.importers_of_file(index.edges),
+        "importers_of_symbol": graph.importers_of_symbol(index.definitions, index.edges),
         "findings": found,
         "actions": actions if not keep else routed.select(*actions.columns),
         "routed": routed,

@@ -51,6 +51,10 @@ SYMBOLS = _table(
     module=_S, alias=_S, imported=_S, annotation=_S, value_repr=_S, stmt_kind=_S,
     mentions=_L, line_text=_S, blank_before=_B, walk_ord=_I, error=_S)
 
+# Line counts by tokens, one row per file.
+RAW_METRICS = _table(
+    repo=_S, path=_S, loc=_L, lloc=_L, sloc=_L, comments=_L, single_comments=_L, multi=_L, blank=_L, error=_S)
+
 IMPACT = _table(
     breaking_changes=_B, files_affected=_L, test_impact=_S, cross_file_check=_S, complexity=_I,
     entity_type=_S, parent_class=_S, security_risk=_S, credential_line=_S, loc=_L,

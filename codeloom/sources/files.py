@@ -24,26 +24,83 @@ def path_is_kept(path: Column, excluded: list[str] | None = None, match: str = "
     return ~reduce(lambda a, b: a | b, [F.contains(path, F.lit(p)) for p in parts])
 
 
+def listed_path() -> Column:
+    """The path of a file as known before it is opened; the listing holds it as an encoded address."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(encoded), r"^file:/*", "/")
+
+
 def discover_files(
-    spark: SparkSession, root: str, excluded: list[str] | None = None, match: str = "substring"
+    spark: SparkSession,
+    root: str | list[str],
+    excluded: list[str] | None = None,
+    match: str = "substring",
+    projects: DataFrame | None = None,
 ) -> DataFrame:
-    """Raw Python files under a folder: path, bytes, modification time.
+    """Raw Python files under one or more folders: repository, path, bytes, modification time.
 
-    The exclusion filter only needs the path, so the bytes of dropped files are not read.
+    The exclusion filter is on the listed path, so it is applied while files are listed and
+    dropped ones are never opened.  With ``projects`` (column ``repo_path``) the repository of a
+    file is the deepest such folder that holds it, null if none does; otherwise it is ``root``
+    (of several: the deepest that holds the file).
     """
+    roots = [root] if isinstance(root, str) else list(root)
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.py")
-        .load(root)
+        .load(roots)
+        .filter(path_is_kept(listed_path(), excluded, match))
     )
-    path = F.regexp_replace(F.col("path"), r"^file:/*", "/")
-    return found.filter(path_is_kept(path, excluded, match)).select(
-        F.lit(root.rstrip("/")).alias("repo"),
-        path.alias("path"),
+    files = found.select(
+        F.regexp_replace(F.col("path"), r"^file:/*", "/").alias("path"),
         F.col("content").alias("raw"),
         F.col("modificationTime").alias("snapshot_ts"),
     )
+    if projects is None and len(roots) == 1:
+        return files.select(F.lit(roots[0].rstrip("/")).alias("repo"), *files.columns)
+    if projects is None:
+        projects = spark.createDataFrame([(r,) for r in roots], "repo_path string")
+    listing = found.select(F.regexp_replace(F.col("path"), r"^file:/*", "/").alias("path"))
+    return with_repository(files, projects, listing).select("repo", *files.columns)
+
+
+def folder_of(path: Column) -> Column:
+    """Everything before the last slash."""
+    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+
+
+def ancestors(folder: Column) -> Column:
+    """The folder and all folders above it, the shallowest first."""
+    parts = F.split(folder, "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def repository_of_folders(folders: DataFrame, projects: DataFrame) -> DataFrame:
+    """Each distinct ``folder`` with the deepest project root (``repo_path``) that is it or lies above it.
+
+    Folders are taken apart into their ancestors, which meet roots by equality: no prefix
+    comparison of all roots with all folders, however deeply roots are nested.  Slashes at the end of a
+    root don't count; folders under no root are left out; null and repeated roots change nothing.
+    """
+    roots = projects.select(F.rtrim(F.col("repo_path"), F.lit("/")).alias("_root")).filter("_root IS NOT NULL").distinct()
+    above = folders.select("folder").distinct().select("folder", F.explode(ancestors(F.col("folder"))).alias("_root"))
+    return above.join(roots, "_root").groupBy("folder").agg(F.max_by("_root", F.length("_root")).alias("repo"))
+
+
+def with_repository(files: DataFrame, projects: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """``files`` with ``repo``, the deepest project root above each path; null where there is none.
+
+    Only folder names are taken apart and grouped, never texts.  ``listing`` (paths) stands for
+    ``files`` there, so that a scan of file names alone is enough.  The map of folders is joined back
+    by folder: Catalyst broadcasts it while its measured size is below the threshold, and otherwise
+    shuffles by folder, with hot folders split by the skew-join rule.
+    """
+    paths = files if listing is None else listing
+    owners = repository_of_folders(paths.select(folder_of(F.col("path")).alias("folder")), projects)
+    kept = [c for c in files.columns if c != "repo"]
+    keyed = files.select(*kept, folder_of(F.col("path")).alias("folder"))
+    return keyed.join(owners, "folder", "left").select("repo", *kept)
 
 
 def load_snapshots(raw_files: DataFrame) -> DataFrame:

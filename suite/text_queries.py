@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text, vocab
-from codeloom.operators import edits, registry, scan
+from codeloom.operators import edits, registry, scan, symbols
 from codeloom.sources import files as sources
 from suite.registry import query
 
@@ -61,6 +61,54 @@ def rule_hits(t):
     return hits.select("repo", "path", "label", F.col("match_ord").cast("long"), F.col("line").cast("long"))
 
 
+# Five hundred rules of a table: each wants its own number behind a full stop and space, two also a literal.
+N_TABLE_RULES = 500
+
+
+@query("files", """
+    WITH m AS (SELECT repo, path, unnest(regexp_extract_all(content, '[a-z]{2,}[.,] [A-Z]')) AS found FROM files)
+    SELECT repo, path, 'r' || lpad(CAST(unicode(found[-1]) + 100 * (found[-3] = ',')::INT AS VARCHAR), 3, '0') AS rule_id,
+           count(*) AS n FROM m GROUP BY ALL""")
+def table_rules(t):
+    number = F.col("id")
+    sign = F.when(number < 100, r"\.").otherwise(",")
+    letter = F.char(number % 100)
+    upper = (number % 100).between(65, 90) & (number < 200)
+    regex = F.when(upper, F.concat(F.lit("[a-z]{2,}"), sign, F.lit(" "), letter)).otherwise(F.concat(F.lit("no such text "), number.cast("string")))
+    rules = t.spark.range(N_TABLE_RULES).select(
+        F.concat(F.lit("r"), F.lpad(number.cast("string"), 3, "0")).alias("rule_id"), regex.alias("regex"), F.lit("sentence").alias("label"),
+        F.lit("style").alias("finding_type"), F.lit("low").alias("severity"),
+        F.when(upper, F.concat(F.lit(" "), letter)).when(number % 2 == 0, "no such text").alias("literal"),
+    )
+    hits = scan.table_rule_hits(t.files, rules, with_code=False)
+    return hits.groupBy("repo", "path", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# One text per part, with signs of comments inside strings and lines that go on.
+@query("", """
+    SELECT 'p' || k AS path, CAST(CASE WHEN k % 97 = 0 THEN 1 ELSE 8 + d + k % 4 + 4 * y + 5 * b + k % 3 END AS BIGINT) AS loc,
+           CAST(CASE WHEN k % 97 <> 0 THEN 8 + d + y + b END AS BIGINT) AS lloc,
+           CAST(CASE WHEN k % 97 <> 0 THEN 8 + 3 * y END AS BIGINT) AS sloc, CAST(CASE WHEN k % 97 <> 0 THEN k % 4 + 1 END AS BIGINT) AS comments,
+           CAST(CASE WHEN k % 97 <> 0 THEN d + k % 4 END AS BIGINT) AS single_comments,
+           CAST(CASE WHEN k % 97 <> 0 THEN 4 * b END AS BIGINT) AS multi, CAST(CASE WHEN k % 97 <> 0 THEN y + b + k % 3 END AS BIGINT) AS blank
+    FROM (SELECT p_partkey AS k, (p_partkey % 3 <> 0)::INT AS d, p_partkey % 2 AS y, (p_partkey % 5 = 0)::INT AS b FROM part)""")
+def raw_metrics(t):
+    k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
+    content = F.concat(
+        F.when(k % 3 != 0, F.concat(F.lit('"""Doc # of '), name, F.lit('."""\n'))).otherwise(""),
+        F.repeat(F.concat(F.lit("# note "), name, F.lit("\n")), (k % 4).cast("int")),
+        F.concat(F.lit('x = "# '), name, F.lit('"  # tail\n')),
+        F.when(k % 2 == 1, F.concat(F.lit('y = """a\n\n# '), name, F.lit('\n"""\n'))).otherwise(""),
+        F.when(k % 5 == 0, F.concat(F.lit('"""\ntext # '), size, F.lit('\n\nmore\n"""\n'))).otherwise(""),
+        F.lit("a = 1; b = 2\n"), F.concat(F.lit("z = (1 +\n     "), size, F.lit(")\n")), F.lit("if x: y = 1\nv = \\\n  5\nw: int = 3\n"),
+        F.repeat(F.lit("\n"), (k % 3).cast("int")),
+    )
+    files = t.part.select(
+        F.lit("r").alias("repo"), F.concat(F.lit("p"), k.cast("string")).alias("path"),
+        F.when(k % 97 == 0, "def (:\n").otherwise(content).alias("content"))
+    return symbols.raw_metrics(files).drop("repo", "error")
+
+
 _LINES = "CASE WHEN content LIKE '%' || chr(10) THEN string_split(content, chr(10))[:-2] ELSE string_split(content, chr(10)) END"
 
 
@@ -228,6 +276,19 @@ def corpus_inventory(t):
     return sources.corpus_inventory(t.files.select("repo").distinct().unionByName(idle), t.files)
 
 
+# Roots beside and inside each other: every source but those that end in 3, and two folders in each.
+@query("files", """
+    WITH s AS (SELECT DISTINCT repo FROM files),
+    roots AS (SELECT repo AS r FROM s WHERE repo NOT LIKE '%3' UNION ALL SELECT repo || '/en' FROM s
+              UNION ALL SELECT repo || '/fr' FROM s UNION ALL SELECT repo || '/e' FROM s)
+    SELECT path, arg_max(r, length(r)) AS repo FROM files LEFT JOIN roots ON starts_with(path, r || '/') GROUP BY path""")
+def repository_of_files(t):
+    names = t.documents.select(F.col("source").alias("s")).distinct()
+    every = F.array(F.when(~F.endswith("s", F.lit("3")), F.col("s")), *[F.concat("s", F.lit(end)) for end in ("/en", "/fr/", "/e", "/en/")])
+    projects = names.select(F.explode(every).alias("repo_path"))
+    return sources.with_repository(t.files, projects).select("path", "repo")
+
+
 @query("code code_loc", "SELECT path FROM code_loc WHERE NOT contains(path, '/m1')")
 def path_filter(t):
     return t.code.filter(sources.path_is_kept(F.col("path"), ["/m1"])).select("path")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import vocab
+from codeloom.functions.pyast import raw_counts
 from codeloom.operators import coordinate, findings, graph, registry, routing, scan, symbols
 from codeloom.plans import analyze
 from codeloom.sources import files as sources
@@ -201,7 +202,7 @@ def test_tools_by_name(spark, index):
     }
     assert registry.run_tool("get_python_files", index.files).count() == len(FILES) - 2
     rules = spark.createDataFrame([("r", "x = [0-9]", "assign", "style", "low")], "rule_id string, regex string, label string, finding_type string, severity string")
-    assert scan.rule_hits(index.files, registry.custom_rules(rules)).filter("path = '/a/big450.py'").count() == 450
+    assert scan.table_rule_hits(index.files, rules).filter("path = '/a/big450.py'").count() == 450
 
 
 def test_table_function_in_sql(spark, index):
@@ -224,6 +225,63 @@ def test_discovery_and_snapshots_from_disk(spark, tmp_path):
     assert rows["bad.py"].content is None and rows["bad.py"].parse_error == "not valid UTF-8"
 
 
+def test_excluded_files_are_never_opened(spark, tmp_path):
+    for name in ("a.py", "b+c d.py", "venv/c.py", "venv/e.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    found = sources.discover_files(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaf = plan.collectLeaves().head()
+    assert leaf.metrics().apply("numFiles").value() == 2
+    # "%20" stands for the space only in the address.
+    names = {r.path.rsplit("/", 1)[1] for r in sources.discover_files(spark, str(tmp_path), ["%20", "venv"]).collect()}
+    assert names == {"a.py", "b+c d.py"}
+    assert {r.path.rsplit("/", 1)[1] for r in sources.discover_files(spark, str(tmp_path), ["c d"]).collect()} == {"a.py", "c.py", "e.py"}
+    assert sources.discover_files(spark, str(tmp_path), ["venv"], "segment").count() == 2
+
+
+def test_deepest_repository(spark, tmp_path):
+    for name in ("one/a.py", "one/sub/deep/b.py", "one/subway/c.py", "two/d.py", "e.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    roots = [str(tmp_path / "one"), str(tmp_path / "one/sub") + "/", str(tmp_path / "one/sub"), None, str(tmp_path / "gone")]
+    projects = spark.createDataFrame([(r,) for r in roots], "repo_path string")
+
+    def by_name(files):
+        cut = len(str(tmp_path)) + 1
+        return {r.path[cut:]: r.repo and r.repo[cut:] for r in files.collect()}
+
+    found = sources.discover_files(spark, str(tmp_path), projects=projects)
+    assert by_name(found) == {"one/a.py": "one", "one/sub/deep/b.py": "one/sub", "one/subway/c.py": "one", "two/d.py": None, "e.py": None}
+    assert bytes(found.first().raw) == b"x = 1\n" and found.columns == ["repo", "path", "raw", "snapshot_ts"]
+    several = sources.discover_files(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
+    assert by_name(several) == {"one/a.py": "one", "one/sub/deep/b.py": "one", "one/subway/c.py": "one", "two/d.py": "two"}
+    assert sources.with_repository(found.limit(0), projects).count() == 0
+
+
+def test_table_rules(spark, index):
+    shape = "rule_id string, regex string, label string, finding_type string, severity string, literal string"
+    rules = spark.createDataFrame([
+        ("b", "x = [0-9]", "assign", "style", "low", "x ="), ("a", "import", "import", "style", "low", None), (None, "x", "n", "n", "n", None),
+        ("c", None, "n", "n", "n", None), ("d", "import", "import", "style", "low", "not in any file"), ("a", "import", "import", "style", "low", None),
+    ], shape)
+    got = scan.table_rule_hits(index.files, rules)
+    want = scan.rule_hits(index.files, [("a", "import", "import", "style", "low"), ("b", "x = [0-9]", "assign", "style", "low")])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert scan.table_rule_hits(index.files, rules.limit(0)).count() == 0
+
+
+def test_raw_counts():
+    source = 'def f():\n    """One."""\n    s = "# no"  # yes\n\n    # alone\n    t = """a\n\nb # no\n"""\n    return s; t\n"""\nx\n\n"""\n'
+    assert raw_counts(source) == dict(loc=14, lloc=7, sloc=6, comments=2, single_comments=2, multi=3, blank=3)
+    assert raw_counts("def (:\n")["loc"] == 1 and "invalid" in raw_counts("def (:\n")["error"]
+    for nothing in (None, ""):
+        assert raw_counts(nothing) == dict(loc=0, lloc=0, sloc=0, comments=0, single_comments=0, multi=0, blank=0)
+    assert raw_counts("x = [1,\n # in\n 2]\n@a\ndef f(): pass\nif x:\n  pass\nelse: pass") == dict(
+        loc=8, lloc=7, sloc=7, comments=1, single_comments=1, multi=0, blank=0)
+
+
 def test_vocabulary_sizes():
     assert len(vocab.ALWAYS_ALIVE_FUNCTIONS) == 17 and len(vocab.ALWAYS_ALIVE_SYMBOLS) == 26
     assert len(vocab.SECRET_RULES) == 6 and len(vocab.INSECURE_RULES) == 4
