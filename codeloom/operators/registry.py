@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
-from codeloom.functions.pyast import symbol_rows
 from codeloom.operators import scan, symbols
 from codeloom.schemas import SYMBOLS
 from codeloom.sources.files import path_is_kept
 
-_SQL_COLUMNS = [f for f in SYMBOLS.fields if f.name not in ("repo", "path")]
-
 
 def _imports(files: DataFrame) -> DataFrame:
     return symbols.unused_imports(symbols.extract_symbols(files))
@@ -56,14 +54,16 @@ def run_tool(name: str, files: DataFrame) -> DataFrame:
     return TOOLS[name](files)
 
 
-@udtf(returnType=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _SQL_COLUMNS))
 class SymbolTable:
-    """``SELECT f.path, s.* FROM files f, LATERAL code_symbols(f.content) s``"""
+    """``SELECT path, name FROM code_symbols(TABLE(SELECT repo, path, content FROM files))``
+
+    Takes and gives whole Arrow batches in the partitions of its input: nothing is shuffled and no
+    row passes through Python by itself.
+    """
 
-    def eval(self, content: str) -> Iterator[tuple]:
-        for row in symbol_rows(content):
-            yield tuple(row.get(f.name) for f in _SQL_COLUMNS)
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield from symbols.parse_batches([batch])
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("code_symbols", SymbolTable)
+    spark.udtf.register("code_symbols", arrow_udtf(SymbolTable, returnType=SYMBOLS))

@@ -37,13 +37,16 @@ def _per_file(schema: T.StructType, rows_of: Callable[[str | None], list[dict]])
     return step
 
 
+parse_batches = _per_file(SYMBOLS, symbol_rows)
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """Functions, classes, imports, module assignments and blocks of every file.
 
     The only Python step: one pass over (repo, path, content) in the scan's own
     partitions.  Text goes no further, so it is never shuffled.
     """
-    return files.select("repo", "path", "content").mapInArrow(_per_file(SYMBOLS, symbol_rows), SYMBOLS)
+    return files.select("repo", "path", "content").mapInArrow(parse_batches, SYMBOLS)
 
 
 def raw_metrics(files: DataFrame) -> DataFrame:

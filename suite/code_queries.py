@@ -160,13 +160,59 @@ def index_summary(t):
 
 
 @query("code", """
-    SELECT path, 'Box' || k AS name, 'class' AS bucket FROM code WHERE valid""")
+    SELECT repo, path, 'Box' || k AS name, 'class' AS bucket, CAST(class_line AS INT) AS start_line, CAST(init_end AS INT) AS end_line,
+           true AS has_docstring, CAST(CASE WHEN k % 2 = 1 THEN 4 ELSE 23 END AS INT) AS doc_len, 'class Box' || k || ':' AS line_text,
+           true AS blank_before FROM code WHERE valid""")
 def sql_table_function(t):
     registry.register(t.spark)
     t.code.createOrReplaceTempView("codeloom_code")
-    return t.spark.sql(
-        "SELECT f.path, s.name, s.bucket FROM codeloom_code f, LATERAL code_symbols(f.content) s WHERE s.bucket = 'class'"
-    )
+    return t.spark.sql("""
+        SELECT repo, path, name, bucket, start_line, end_line, has_docstring, doc_len, line_text, blank_before
+        FROM code_symbols(TABLE(SELECT repo, path, content FROM codeloom_code)) WHERE bucket = 'class'""")
+
+
+# ------------------------------------------------------------------ packages
+@query("packages", """
+    SELECT core AS path, 'load_' || k AS name, 'function' AS kind, true AS is_public, k % 5 = 0 AS in_all FROM packages
+    UNION ALL SELECT core, '_hidden_' || k, 'function', false, false FROM packages
+    UNION ALL SELECT core, 'shared', 'function', true, false FROM packages
+    UNION ALL SELECT core, 'Box' || k, 'class', true, false FROM packages
+    UNION ALL SELECT core, '__all__', 'assignment', false, false FROM packages WHERE k % 5 = 0
+    UNION ALL SELECT init, '__all__', 'assignment', false, false FROM packages WHERE k % 3 < 2""")
+def package_definitions(t):
+    return symbols.definitions(symbols.extract_symbols(t.packages)).select("path", "name", "kind", "is_public", "in_all")
+
+
+@query("packages", """
+    SELECT init AS path, 'load_' || k AS name FROM packages WHERE k % 3 < 2 UNION ALL SELECT init, 'Box' || k FROM packages WHERE k % 3 = 0
+    UNION ALL SELECT core, 'load_' || k FROM packages WHERE k % 5 = 0""")
+def listed_names(t):
+    return symbols.all_names(symbols.extract_symbols(t.packages))
+
+
+# A list over several lines isn't understood, so such a file offers its public names.
+@query("packages", """
+    SELECT init AS path, 'load_' || k AS name FROM packages WHERE k % 3 = 0 UNION ALL SELECT init, 'Box' || k FROM packages WHERE k % 3 = 0
+    UNION ALL SELECT core, 'load_' || k FROM packages
+    UNION ALL SELECT core, 'shared' FROM packages WHERE k % 5 <> 0 UNION ALL SELECT core, 'Box' || k FROM packages WHERE k % 5 <> 0""")
+def package_offers(t):
+    return symbols.module_exports(symbols.extract_symbols(t.packages))
+
+
+@query("packages", """
+    SELECT repo, init AS init_path, 'load_' || k AS name FROM packages UNION ALL SELECT repo, init, 'shared' FROM packages
+    UNION ALL SELECT repo, init, 'shown_' || k FROM packages WHERE k % 2 = 0""")
+def init_exports(t):
+    return symbols.init_exports(symbols.extract_symbols(t.packages))
+
+
+# Folders are prefixes as plain text: pk1 is one of pk11.
+@query("packages", """
+    SELECT core AS path, 'load_' || k AS name, init AS init_path FROM packages
+    UNION ALL SELECT a.core, 'shared', b.init FROM packages a JOIN packages b ON a.repo = b.repo AND starts_with(a.core, b.folder)""")
+def reexported(t):
+    table = materialise(symbols.extract_symbols(t.packages))
+    return graph.reexported(symbols.definitions(table), symbols.init_exports(table))
 
 
 # ------------------------------------------------------------------ graph

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import checkpoint_folder
 from codeloom.plans import incremental
+from codeloom.sources.logstate import ANY, FIRST_KNOWN, LAST, LAST_KNOWN, LogState
 from codeloom.streaming import state, watch
 from suite.history_queries import _SESSIONS, GAP_SECONDS
 from suite.registry import query
@@ -159,3 +160,24 @@ def incremental_liveness_stream(t):
         arriving = t.spark.readStream.schema("project_id string").parquet(source)
         _run(incremental.refresh_on_change(arriving, load, f"{root}/store", f"{root}/state"))
     return incremental.liveness(incremental.Store(t.spark, f"{root}/store")).select("path", "name", "is_dead", "reason")
+
+
+@query("", """
+    WITH l AS (SELECT *, (o_orderdate, o_orderkey) AS place FROM orders)
+    SELECT o_custkey, arg_max(o_orderpriority, place) AS o_orderpriority,
+           arg_max(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, place) AS status,
+           min(o_orderdate) AS o_orderdate, bool_or(o_totalprice > 300000) AS large
+    FROM l GROUP BY o_custkey""")
+def state_in_parts(t):
+    """Orders as a log in three interleaved parts, one of them sent twice, with a snapshot in between."""
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    log = t.orders.select(
+        "o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", status.alias("status"), (F.col("o_totalprice") > 300000).alias("large"))
+    rules = {"o_orderpriority": LAST, "status": LAST_KNOWN, "o_orderdate": FIRST_KNOWN, "large": ANY}
+    store = LogState(t.spark, _folder(t, "state"), log.schema, ["o_custkey"], ["o_orderdate", "o_orderkey"], rules)
+    for batch, part in enumerate([2, 0, 1]):
+        for _ in range(1 + (batch == 1)):
+            store.add(batch, log.filter(F.col("o_orderkey") % STREAM_PARTS == part))
+        if batch == 1:
+            store.compact()
+    return store.current()

@@ -143,6 +143,33 @@ class Tables:
             content.alias("content"),
         )
 
+    @cached_property
+    def packages(self) -> DataFrame:
+        """Two files per part: a package's init, which lists and passes on names, and a module below it."""
+        k = F.col("p_partkey").cast("string")
+
+        def named(template: str):
+            return F.replace(F.lit(template), F.lit("{k}"), k)
+
+        remainder = F.col("p_partkey") % 3
+        init = F.concat(
+            F.when(remainder == 0, named('__all__ = ["load_{k}", \'Box{k}\']\n'))
+            .when(remainder == 1, named('__all__ = [\n    "load_{k}",\n]\n')).otherwise(""),
+            named("from .sub.core import load_{k}, shared\n"),
+            F.when(F.col("p_partkey") % 2 == 0, named("from .sub.core import _hidden_{k} as shown_{k}\n")).otherwise(""),
+        )
+        core = F.concat(
+            F.when(F.col("p_partkey") % 5 == 0, named('__all__ = ["load_{k}"]\n\n\n')).otherwise(""),
+            named("def load_{k}():\n    pass\n\n\ndef _hidden_{k}():\n    pass\n\n\ndef shared():\n    pass\n\n\nclass Box{k}:\n    pass\n"),
+        )
+        repo = F.concat(F.lit("r"), (F.col("p_partkey") % 10).cast("string"))
+        folder = F.concat(repo, F.lit("/pk"), k)
+        both = F.array(
+            F.struct(F.concat(folder, F.lit("/__init__.py")).alias("path"), init.alias("content")),
+            F.struct(F.concat(folder, F.lit("/sub/core.py")).alias("path"), core.alias("content")),
+        )
+        return spread(self.table("part"), "p_partkey").select(repo.alias("repo"), F.explode(both).alias("f")).select("repo", "f.*")
+
 
 # ------------------------------------------------------------------ the same in SQL
 _TYPES_SQL = "[" + ", ".join(f"'{a}'" for a in QUEUE_TYPES) + "]"
@@ -196,6 +223,9 @@ VIEWS = {
                      p_partkey >= 10 AS chain, p_partkey >= 20 AND p_partkey % 7 = 0 AS star,
                      p_partkey % 11 = 0 AS gone, p_partkey >= 10 AND p_partkey % 9 = 0 AS calls
               FROM part)))))))""",
+    "packages": """
+        SELECT p_partkey AS k, 'r' || (p_partkey % 10) AS repo, 'r' || (p_partkey % 10) || '/pk' || p_partkey AS folder,
+               folder || '/__init__.py' AS init, folder || '/sub/core.py' AS core FROM part""",
     "code_loc": f"""
         SELECT repo, path, k, CASE WHEN valid THEN init_end + {LONG_FILE_PADDING} * (k % 50 = 0)::INT ELSE 1 END AS loc
         FROM code""",

@@ -208,8 +208,12 @@ def test_tools_by_name(spark, index):
 def test_table_function_in_sql(spark, index):
     registry.register(spark)
     index.files.createOrReplaceTempView("corpus_files")
-    rows = spark.sql("SELECT f.path, s.name FROM corpus_files f, LATERAL code_symbols(f.content) s WHERE s.bucket = 'class'")
+    taken = "code_symbols(TABLE(SELECT repo, path, content FROM corpus_files))"
+    rows = spark.sql(f"SELECT path, name FROM {taken} WHERE bucket = 'class'")
     assert pairs(rows, "path", "name") == {("/a/model.py", "Model"), ("/a/model.py", "Tiny")}
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    every = spark.sql(f"SELECT * FROM {taken}")
+    assert sorted(map(str, every.collect())) == sorted(map(str, symbols.extract_symbols(index.files).collect()))
 
 
 def test_discovery_and_snapshots_from_disk(spark, tmp_path):
