@@ -1,11 +1,14 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
-
-Of all suffixes of all texts only those at minimisers are kept: in every window of
-``PASSAGE`` words, the run of ``RUN`` words with the lowest hash.  A passage of that length in
-two documents has the same minimiser in both, so sorting the kept suffixes by their run
-and comparing neighbours finds every candidate.  Candidates are then extended to the
-left and right: every window around a shared minimiser is compared by its own hash, and
-windows found in two documents or more are joined to maximal spans.
+"""Passages that repeat across documents, by shared minimisers and the windows around them.
+
+Of all positions only minimisers are kept: in every window of ``PASSAGE`` words, the run of
+``RUN`` words with the lowest hash.  A passage of that length in two documents has the same
+minimiser in both, so minimisers of two documents or more give every candidate.  Every window
+around a shared minimiser is then compared by its own hash, and windows found in two documents
+or more are joined to maximal spans.
+
+No suffixes are sorted.  Neighbours in the order of suffixes share the longest match to the right,
+while the document with the longest match to the left may stand far from them in that order, so
+extending neighbours alone would lose spans of ``PASSAGE`` words.
 
 Words are compared with A-Z lower-cased.  Null, empty and shorter texts have no spans.
 Repetition inside one document alone is none; rows that share a ``doc_id`` are one
