@@ -156,6 +156,21 @@ def matches_with_lines(content: Column, pattern: str | Column) -> Column:
     return F.when(F.regexp_like(content, pattern), rows)
 
 
+def required_literal(pattern: Column) -> Column:
+    """A text that every match of a plain pattern contains, the longest; null where none is certain.
+
+    Plain means: single characters, escaped signs and bracketed classes with or without a count.
+    Anything else (groups, alternatives, anchors, counts of a character, escaped brackets or letters) gives null.
+    """
+    gap = "\u0000"
+    classes = F.regexp_replace(pattern, r"\[[^\[\]\\&]+\](\{[0-9,]+\}|[*+?])?", gap)
+    bare = F.regexp_replace(classes, r"\\[^A-Za-z0-9]", "")
+    signs = F.regexp_like(bare, F.lit(r"[\\^$.|?*+()\[\]{}]")) | F.regexp_like(pattern, F.lit(r"\\[\[\]\x00]|\x00"))
+    pieces = F.split(F.regexp_replace(classes, r"\\([^A-Za-z0-9])", "$1"), gap, -1)
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("piece"))))["piece"]
+    return F.when(~signs & (longest != ""), longest)
+
+
 def first_group(texts: list[Column], patterns: list[str]) -> Column:
     """Group 1 of the first pattern that matches; texts outer, patterns inner."""
     tries = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +81,14 @@ def import_removals(imports: DataFrame, latest: DataFrame) -> DataFrame:
     )
 
 
-def plan_edits(actions: DataFrame, latest: DataFrame, files: DataFrame) -> DataFrame:
+def plan_edits(
+    actions: DataFrame, latest: DataFrame, files: DataFrame, align: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Dry run: what each action would do to the current text, or why it cannot.
 
     ``actions`` needs (id, action_type, target).  The symbol is resolved by name in the
-    current table, so line shifts since the finding do not matter.
+    current table, so line shifts since the finding do not matter.  For files of a stored
+    ``TextTable``, ``align`` is its ``aligned``: the wanted lines go to the texts.
     """
     target = text.decode_target(F.col("target"))
     asked = actions.select(
@@ -97,8 +102,8 @@ def plan_edits(actions: DataFrame, latest: DataFrame, files: DataFrame) -> DataF
     kind = F.col("action_type")
     number = F.expr("try_cast(entity_name AS INT)")
     by_line = (kind == "fix_security") & (F.col("entity_type") != "variable")
-    wanted = asked.filter(by_line & number.isNotNull()).select("path", number.alias("line")).distinct()
-    texts = scan.lines_at(files, wanted).select("path", F.col("line").cast("string").alias("entity_name"), F.col("text").alias("at_line"))
+    wanted = asked.filter(by_line & number.isNotNull()).select("path", number.alias("line"))
+    texts = scan.lines_at(files, (align(wanted) if align else wanted).distinct()).select("path", F.col("line").cast("string").alias("entity_name"), F.col("text").alias("at_line"))
     rows = (
         asked.join(spans, ["path", "entity_name"], "left")
         .join(texts, ["path", "entity_name"], "left")

@@ -7,6 +7,8 @@ back; nothing ranks or collects a whole file in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +23,21 @@ def with_file(reviews: DataFrame) -> DataFrame:
     )
 
 
+def _join_back(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the facts of their group; a null key is a group of its own, so no row is lost."""
+    named = facts.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys])
+    return rows.join(named, same).drop(*[f"_of_{key}" for key in keys])
+
+
 def dedup_pending(reviews: DataFrame) -> DataFrame:
     """Every review with the id that stands for its (action type, target).
 
     The oldest one stays; ``is_duplicate`` marks the others.
     """
     first = reviews.groupBy("action_type", "target").agg(F.min(F.struct("created_at", "id")).alias("_first"))
-    return reviews.join(first, ["action_type", "target"]).select(
-        *reviews.columns, F.col("_first.id").alias("review_id"), (F.col("_first.id") != F.col("id")).alias("is_duplicate")
+    return _join_back(reviews, first, ["action_type", "target"]).select(
+        *reviews.columns, F.col("_first.id").alias("review_id"), (~F.col("_first.id").eqNullSafe(F.col("id"))).alias("is_duplicate")
     )
 
 
@@ -45,7 +54,7 @@ def is_blocked(reviews: DataFrame) -> DataFrame:
     """Add ``is_blocked``: a pending review of the same file has a lower order."""
     rows = with_file(reviews)
     lowest = rows.groupBy("file").agg(F.min("action_order").alias("_lowest"))
-    return rows.join(lowest, "file").select(
+    return _join_back(rows, lowest, ["file"]).select(
         *reviews.columns, "file", "action_order", (F.col("_lowest") < F.col("action_order")).alias("is_blocked")
     )
 
@@ -74,7 +83,7 @@ def _blocking(reviews: DataFrame, owner: str | None) -> DataFrame:
         F.count_if("_seen").alias("group_total"),
     )
     return (
-        rows.filter("_seen").join(facts, "file")
+        _join_back(rows.filter("_seen"), facts, ["file"])
         .withColumn("is_blocked", F.col("_lowest") < F.col("action_order"))
         .withColumn("has_blocked", F.col("_lowest") < F.col("_last"))
         .withColumn("block_reason", _reason(F.col("_first")))
@@ -92,7 +101,7 @@ def block_reason(reviews: DataFrame, owner: str | None = None, by_owner: bool =
         return _blocking(reviews, owner).drop("has_blocked", "group_total")
     rows = is_blocked(reviews)
     first = rows.groupBy("file", "owner").agg(F.min("action_order").alias("_first"))
-    return rows.join(first, ["file", "owner"]).withColumn("block_reason", _reason(F.col("_first"))).drop("_first")
+    return _join_back(rows, first, ["file", "owner"]).withColumn("block_reason", _reason(F.col("_first"))).drop("_first")
 
 
 def pending_sorted(reviews: DataFrame, owner: str | None = None) -> DataFrame:

@@ -146,28 +146,30 @@ def table_rule_hits(files: DataFrame, rules: DataFrame, mask: bool = True, with_
     """As ``rule_hits``, for rules that stay a table (rule_id, regex, label, finding_type, severity).
 
     The table becomes one array value of the plan, numbered by ``rule_id``, so a plan of thousands of
-    rules is as short as that of one; it is configuration and does not grow with the files.  With a
-    column ``literal``, a text that a match must contain, files without it skip the pattern.  Rows
+    rules is as short as that of one; it is configuration and does not grow with the files.  A pattern
+    runs only over texts with the literal that it needs: the one of ``text.required_literal``, found once
+    in the table of rules, and that of a column ``literal`` where the caller gives one.  Rows
     without id or pattern and repeated rows don't count; of one id with two patterns both do.
     """
-    literal = F.col("literal") if "literal" in rules.columns else F.lit(None).cast("string")
-    rows = rules.filter("rule_id IS NOT NULL AND regex IS NOT NULL").select(
-        F.struct("rule_id", "regex", "label", "finding_type", "severity", literal.alias("literal")).alias("rule")
-    )
+    given = F.col("literal") if "literal" in rules.columns else F.lit(None).cast("string")
+    rows = rules.filter("rule_id IS NOT NULL AND regex IS NOT NULL").select(F.struct(
+        "rule_id", "regex", "label", "finding_type", "severity",
+        F.array_compact(F.array(text.required_literal(F.col("regex")), given)).alias("literals"),
+    ).alias("rule"))
     every = rows.agg(F.sort_array(F.collect_set("rule")).alias("rules")).scalar()
     numbered = F.transform("_rules", lambda rule, i: F.struct(rule.alias("rule"), i.alias("rule_ord")))
     content = F.col("content")
 
     def may_match(entry: Column) -> Column:
-        wanted = entry["rule"]["literal"]
-        return (wanted.isNull() | F.contains(content, wanted)) & F.regexp_like(content, entry["rule"]["regex"])
+        return F.forall(entry["rule"]["literals"], lambda literal: F.contains(content, literal))
 
     def hits_of(entry: Column) -> Column:
         rule = entry["rule"]
-        return F.transform(text.matches_with_lines(content, rule["regex"]), lambda match: F.struct(
+        found = F.transform(text.matches_with_lines(content, rule["regex"]), lambda match: F.struct(
             rule["rule_id"].alias("rule_id"), rule["label"].alias("label"), rule["finding_type"].alias("finding_type"),
             rule["severity"].alias("severity"), entry["rule_ord"].alias("rule_ord"), match["k"].alias("match_ord"), match["line"].alias("line"),
         ))
+        return F.coalesce(found, F.array())
 
     found = F.flatten(F.transform(F.filter(numbered, may_match), hits_of))
     return _hit_rows(files.select("repo", "path", "content", every.alias("_rules")), found, mask, with_code)

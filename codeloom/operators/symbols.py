@@ -118,9 +118,12 @@ def init_exports(symbols: DataFrame) -> DataFrame:
     )
 
 
-def module_exports(symbols: DataFrame, fallback: bool = True) -> DataFrame:
-    """Names a module offers: its one-line ``__all__`` list, or else every public name."""
-    latest = latest_symbols(symbols)
+def module_exports(symbols: DataFrame, fallback: bool = True, latest: DataFrame | None = None) -> DataFrame:
+    """Names a module offers: its one-line ``__all__`` list, or else every public name.
+
+    ``latest`` is the table of ``latest_symbols`` where it is stored already.
+    """
+    latest = latest_symbols(symbols) if latest is None else latest
     one_line = F.nullif(F.regexp_extract("line_text", vocab.ONE_LINE_LIST, 1), F.lit(""))
     listed = (
         latest.filter((F.col("bucket") == "assignment") & (F.col("name") == "__all__"))

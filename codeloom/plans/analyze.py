@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text, vocab
 from codeloom.operators import coordinate, findings, graph, queue, routing, scan, symbols
-from codeloom.session import materialise
+from codeloom.session import materialise, write_table
 
 
 @dataclass
@@ -21,21 +21,26 @@ class Index:
     latest: DataFrame
     definitions: DataFrame
     edges: DataFrame
+    stored: bool = False
 
 
 def build_index(files: DataFrame, keep: bool = False) -> Index:
-    """Symbols and resolved import edges of a corpus.
+    """Symbols, their latest definitions and resolved import edges of a corpus.
 
-    ``keep`` writes the symbols and the edges to the checkpoint folder, which pays when a
-    plan reads them from many branches.
+    ``keep`` stores them in the checkpoint folder, which pays when a plan reads them from many
+    branches: the symbols and the latest ones by bucket and clustered by name, so a reader of
+    functions opens no imports.
     """
     table = symbols.extract_symbols(files)
     if keep:
-        table = materialise(table)
+        table = write_table(table, "bucket", ("name",))
+    latest = symbols.latest_symbols(table)
+    if keep:
+        latest = write_table(latest, "bucket", ("name",))
     edges = graph.resolve_import_edges(symbols.import_edges(table), files)
     if keep:
-        edges = materialise(edges)
-    return Index(files, table, symbols.latest_symbols(table), symbols.definitions(table), edges)
+        edges = write_table(edges, cluster=("resolved_file", "symbol_name"))
+    return Index(files, table, latest, symbols.definitions(table), edges, keep)
 
 
 def liveness(index: Index, exports_fallback: bool = True) -> DataFrame:
@@ -43,7 +48,7 @@ def liveness(index: Index, exports_fallback: bool = True) -> DataFrame:
         symbols.locally_unused(index.symbols),
         index.edges,
         scan.cross_file_names(index.files),
-        symbols.module_exports(index.symbols, exports_fallback),
+        symbols.module_exports(index.symbols, exports_fallback, index.latest),
         graph.star_import_sources(symbols.import_edges(index.symbols), index.files),
     )
 
@@ -64,6 +69,8 @@ def collect_findings(
     Files that do not parse give security and size findings only.
     """
     dead = dead_functions(index, exports_fallback)
+    if index.stored:
+        dead = materialise(dead)
     parts = {
         "dead_code": [
             findings.from_unused_imports(symbols.unused_imports(index.symbols)),
@@ -87,7 +94,9 @@ def coordinate_actions(found: DataFrame, index: Index) -> DataFrame:
     """One action per entity, numbered per file for safe execution."""
     with_entity = coordinate.extract_entity(found, index.latest, index.symbols)
     actions = coordinate.merge_to_action(coordinate.group_entities(with_entity))
-    return coordinate.execution_order(coordinate.with_current_line(actions, index.latest))
+    placed = coordinate.with_current_line(actions, index.latest)
+    # Numbering reads its input twice: to count slots and to number rows.
+    return coordinate.execution_order(materialise(placed) if index.stored else placed)
 
 
 def to_reviews(routed: DataFrame, owner: str | None = None) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings the operators are planned for.  Window-free joins on hot keys
 # lean on the skew-join rewrite, so it is forced even where it adds a shuffle.
@@ -17,6 +19,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # One sorted file per bucket is read as sorted, so stored texts aren't sorted again.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
@@ -61,14 +65,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/codeloom-work"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage through reliable storage.
+def write_table(df: DataFrame, partition: str | None = None, cluster: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table once to a folder of its own in the checkpoint folder and read it back.
 
-    Used for the parsed symbol table, which several branches of a plan read and
-    which is costly to parse again after an executor is lost.
+    Readers get the written files, so columns, values of ``partition`` and ranges of ``cluster`` are pruned
+    by the scan.  Rows are clustered within the tasks that make them: nothing is shuffled, so a name that
+    holds a third of the rows stays spread.
     """
-    context = df.sparkSession.sparkContext
-    folder = checkpoint_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
+    keys = [partition] * (partition is not None) + list(cluster)
+    writer = (df.sortWithinPartitions(*keys) if keys else df).write
+    (writer.partitionBy(partition) if partition else writer).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage through a written table, which outlives lost executors."""
+    return write_table(df)
