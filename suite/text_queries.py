@@ -182,18 +182,34 @@ def call_site_count(t):
     return scan.call_site_count(t.files, t.files.select("path", names.alias("name")))
 
 
-@query("files", f"""
+_HINTED = f"""
     WITH p AS (SELECT path, {_LINES} AS l, trim(left(trim(string_split(content, chr(10))[1]), 12)) AS hint FROM files)
     SELECT path, hint, CAST(min(i) AS BIGINT) AS line FROM (
         SELECT path, hint, i, trim(l[i]) AS x FROM (SELECT path, hint, l, unnest(range(2, len(l) + 1)) AS i FROM p))
-    WHERE length(x) > 0 AND length(hint) > 0 AND (contains(x, hint) OR contains(hint, x)) GROUP BY path, hint""")
-def find_line_by_content(t):
+    WHERE length(x) > 0 AND length(hint) > 0 AND (contains(x, hint) OR contains(hint, x)) GROUP BY path, hint"""
+
+
+def _hints(t):
     hint = F.trim(F.substring(F.trim(F.split("content", "\n")[0]), 1, 12))
-    hints = t.files.select("path", hint.alias("hint"), F.lit(2).alias("search_from"))
-    found = scan.find_line_by_content(t.files, hints)
+    return t.files.select("path", hint.alias("hint"), F.lit(2).alias("search_from"))
+
+
+def _found_lines(found):
     return found.filter(F.col("line").isNotNull()).select("path", "hint", F.col("line").cast("long"))
 
 
+@query("files", _HINTED)
+def find_line_by_content(t):
+    return _found_lines(scan.find_line_by_content(t.files, _hints(t)))
+
+
+@query("files", _HINTED)
+def lines_of_stored_texts(t):
+    """The same hints sent to texts stored in buckets by path."""
+    stored = t.stored_files
+    return _found_lines(scan.find_line_by_content(stored.files, stored.aligned(_hints(t))))
+
+
 @query("code", "SELECT path FROM code WHERE valid AND k % 2 = 0")
 def whole_line_present(t):
     return scan.whole_line_present(t.code, '    """A box that holds parts."""')
@@ -222,7 +238,7 @@ def collapse_blank_runs(t):
     )
 
 
-@query("files", f"""
+_EDITED = f"""
     WITH n AS (SELECT repo, path, l, unnest(range(0, len(l) + 2)) AS i FROM (SELECT repo, path, {_LINES} AS l FROM files)),
     e AS (SELECT repo, path, i * 10 AS ord, l[i] AS x FROM n WHERE i BETWEEN 1 AND len(l) AND NOT (i BETWEEN 2 AND 3 AND len(l) >= 3)
                  AND NOT (i = 5 AND len(l) >= 5)
@@ -231,20 +247,36 @@ def collapse_blank_runs(t):
           UNION ALL SELECT repo, path, 52, 'again' FROM n WHERE i = 0 AND len(l) >= 5
           UNION ALL SELECT repo, path, 5, 'top' FROM n WHERE i = 0)
     SELECT repo, path, count(*) AS n_lines, sha256(string_agg(x, chr(10) ORDER BY ord) || chr(10)) AS content_sha
-    FROM e GROUP BY repo, path""")
-def apply_line_edits(t):
+    FROM e GROUP BY repo, path"""
+
+
+def _planned_edits(t):
     def edit(start, end, *lines):
         new = F.array(*[F.lit(x) for x in lines]).cast("array<string>")
         return F.struct(F.lit(start).alias("start"), F.lit(end).alias("end"), new.alias("new_lines"))
 
     planned = F.array(edit(1, 0, "top"), edit(2, 3, "new line"), edit(5, 5, "five", "again"), edit(100000000, 100000000))
-    rows = t.files.select("path", F.explode(planned).alias("e")).select("path", "e.*")
-    done = edits.apply_line_edits(t.files, rows)
+    return t.files.select("path", F.explode(planned).alias("e")).select("path", "e.*")
+
+
+def _edited(done):
     return done.select(
         "repo", "path", text.line_count(F.col("content")).alias("n_lines"), F.sha2("content", 256).alias("content_sha")
     )
 
 
+@query("files", _EDITED)
+def apply_line_edits(t):
+    return _edited(edits.apply_line_edits(t.files, _planned_edits(t)))
+
+
+@query("files", _EDITED)
+def edits_of_stored_texts(t):
+    """The same edits sent to texts stored in buckets by path."""
+    stored = t.stored_files
+    return _edited(edits.apply_line_edits(stored.files, stored.aligned(_planned_edits(t))))
+
+
 @query("files", f"""
     WITH n AS (SELECT path, len(l) AS size FROM (SELECT path, {_LINES} AS l FROM files)),
     e AS (SELECT path, size, unnest([0, 4, 12]) AS start, unnest([2, 8, 12]) AS end FROM n)

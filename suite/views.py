@@ -6,6 +6,7 @@ parsing, import and liveness queries grow with the data and have a closed form i
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import rules, text
 from codeloom.operators.skew import spread
-from codeloom.session import tune
+from codeloom.session import checkpoint_folder, tune
+from codeloom.sources.texts import TextTable, store_texts
 
 QUEUE_TYPES = [
     "fix_security", "delete_import", "delete_function", "refactor_code", "add_docstring", "restructure", "move_file",
 ]
 LONG_FILE_PADDING = 449
+TEXT_BUCKETS = 160
 
 
 class Tables:
@@ -44,6 +47,13 @@ class Tables:
             F.col("text").alias("content"),
         )
 
+    @cached_property
+    def stored_files(self) -> TextTable:
+        """``files`` in buckets by path, in a folder of its own; about 200 MB of text a bucket at 32 GB."""
+        mark = uuid.uuid4().hex
+        folder = f"{checkpoint_folder(self.spark).rstrip('/')}/codeloom-texts-{mark}"
+        return store_texts(self.files, f"codeloom_texts_{mark}", TEXT_BUCKETS, folder)
+
     @cached_property
     def decisions(self) -> DataFrame:
         return self.decisions_of(self.table("orders"))
