@@ -4,10 +4,12 @@ import ast
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from codeloom.functions.pyast import symbol_rows
 from codeloom.operators import skew, symbols
+from codeloom.session import tune
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,6 +33,16 @@ def test_narrow_rows_are_spread_without_a_setting(spark):
         spark.conf.set(skew.SPREAD_SETTING, before)
 
 
+def test_no_side_is_broadcast_by_the_size_of_its_files(spark, tmp_path):
+    tune(spark)
+    spark.range(50).select("id", F.concat(F.lit("r/m"), F.col("id").cast("string")).alias("path")).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    other = spark.range(50).select("id")
+    assert "BroadcastHashJoin" not in plan(other.join(small, "id"))
+    assert other.join(small, "id").count() == 50
+    assert not spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold").startswith("-")
+
+
 @pytest.mark.parametrize("name", [
     "file_state", "definitions", "module_exports", "index_summary", "package_definitions", "package_offers", "parent_class", "star_import_sources",
 ])
