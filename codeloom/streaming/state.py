@@ -83,41 +83,61 @@ def open_bursts(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ open reviews
-def open_reviews(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
+OPEN_BUCKETS = 4096
+_NO_TIME = 2**63 - 1
+
+
+def open_reviews(reviews: DataFrame, decisions: DataFrame, buckets: int = OPEN_BUCKETS) -> DataFrame:
     """The reviews that are taken up: one per (action_type, target) until it is decided.
 
     ``reviews`` has id, action_type, target and created_at, ``decisions`` review_id, action_type, target and created_at; both may
     be streams.  Rows of a batch count in order of time, at one time decisions first, then by id; only
     a decision on the open review clears it, and its state with it.
+
+    Most targets have a row or two, and a call of Python for each would be nearly all the work, so the targets of a
+    hash bucket are taken together.  The state of a bucket is its open reviews, the first one apart from the others;
+    a batch writes anew the buckets it changes.
     """
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
+        now = {}
+        if state.exists:
+            id_, action, target, ids, actions, targets = state.get
+            now[action, target] = id_
+            now.update(zip(zip(actions, targets), ids))
         # The order of a target's rows in a batch decides, so they are sorted together: an id, a flag and a time each.
-        rows = pd.concat(list(chunks)).sort_values(["us", "is_review", "id"], kind="stable")
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["us", "is_review", "id"], kind="stable")
+        rows = rows.astype(object).where(rows.notna(), None)
         taken = []
-        for id_, is_review, us in zip(rows["id"], rows["is_review"], rows["us"]):
-            if is_review and now is None:
-                now = id_
-                taken.append((id_, key[0], key[1], us))
-            elif not is_review and now == id_:
-                now = None
-        if now is not None:
-            state.update((now,))
+        for place, (id_, action, target, is_review) in enumerate(zip(rows["id"], rows["action_type"], rows["target"], rows["is_review"])):
+            held = now.get((action, target))
+            if is_review and held is None:
+                taken.append(place)
+                if id_ is not None:
+                    now[action, target] = id_
+            elif not is_review and held is not None and held == id_:
+                del now[action, target]
+        if now:
+            (first, id_), *others = now.items()
+            state.update((id_, *first, [i for _, i in others], [a for (a, _), _ in others], [t for (_, t), _ in others]))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(taken, columns=["id", "action_type", "target", "us"])
+        if taken:
+            yield rows.iloc[taken][["id", "action_type", "target", "us"]]
 
     def tagged(rows: DataFrame, id_name: str, is_review: bool) -> DataFrame:
-        when = F.unix_micros(F.col("created_at").cast("timestamp"))
+        when = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(_NO_TIME))
         return rows.select(
             F.col(id_name).cast("string").alias("id"), "action_type", "target", F.lit(is_review).alias("is_review"), when.alias("us")
         )
 
     both = tagged(reviews, "id", True).unionByName(tagged(decisions, "review_id", False))
-    taken = both.groupBy("action_type", "target").applyInPandasWithState(
-        run, "id string, action_type string, target string, us long", "id string", "append", GroupStateTimeout.NoTimeout
+    bucket = F.pmod(F.xxhash64("action_type", "target"), F.lit(buckets)).cast("int")
+    taken = both.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        run, "id string, action_type string, target string, us long",
+        "id string, action_type string, target string, ids array<string>, action_types array<string>, targets array<string>",
+        "append", GroupStateTimeout.NoTimeout,
     )
-    return taken.select("id", "action_type", "target", F.timestamp_micros("us").alias("created_at"))
+    return taken.select("id", "action_type", "target", F.timestamp_micros(F.nullif("us", F.lit(_NO_TIME))).alias("created_at"))
 
 
 # ------------------------------------------------------------------ last decisions

@@ -1,6 +1,7 @@
 """Steps that many queries share keep to what they promise on large inputs."""
 
 import ast
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pytest
@@ -10,8 +11,10 @@ import __spark_entry__ as entry
 from codeloom.functions.pyast import symbol_rows
 from codeloom.operators import skew, symbols
 from codeloom.session import tune
+from codeloom.streaming import state
 
 FOLDER = "/root/testdata/sf0.001"
+START = datetime(2024, 1, 1)
 
 
 def plan(df):
@@ -114,3 +117,38 @@ def test_columns_hold_the_rows_of_every_file():
     wanted = [{"repo": "r", "path": f"p{i}", **row} for i, text in enumerate(texts) for row in symbol_rows(text)]
     assert [{k: v for k, v in row.items() if v is not None} for row in got] == [
         {k: v for k, v in row.items() if v is not None} for row in wanted]
+
+
+def test_targets_of_a_bucket_are_taken_in_one_call_and_stay_apart(spark, tmp_path):
+    """All targets in two buckets, over three batches, against a walk row by row; keys and times may be null."""
+    schema = "id string, review_id string, action_type string, target string, created_at timestamp"
+    source, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    now, expected = {}, []
+    for batch in range(3):
+        rows = []
+        for i in range(120):
+            place = batch * 120 + i
+            new, n = place % 3 != 2, place if place % 3 != 2 else place - 2 - place % 7
+            action, target = (None if place % 11 == 5 else f"a{place % 2}"), (None if place % 13 == 7 else f"t{place % 17}")
+            rows.append((f"{n:04}" if new else None, None if new else f"{n:04}", action, target, None if place % 29 == 3 else START + timedelta(seconds=place)))
+        held = list(now.items())
+        rows += [(None, id_, action, target, START + timedelta(days=1)) for (action, target), id_ in held[::2]]
+        for id_, review_id, action, target, at in sorted(rows, key=lambda r: (r[4] is None, r[4] or START, r[0] is not None, r[0] or r[1])):
+            key = (action, target)
+            if id_ is not None and key not in now:
+                now[key] = id_
+                expected.append((id_, action, target, at))
+            elif id_ is None and now.get(key) == review_id:
+                del now[key]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        taken = state.open_reviews(stream.filter("id is not null"), stream.filter("review_id is not null"), buckets=2)
+        query = taken.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    def order(rows):
+        return sorted(map(tuple, rows), key=str)
+
+    assert order(spark.read.parquet(out).collect()) == order(expected)
+    kept = spark.read.format("statestore").load(cp).select("value.groupState.*").collect()
+    assert len(kept) <= 2
+    assert sorted(i for r in kept for i in [r.id, *r.ids]) == sorted(now.values())
