@@ -36,6 +36,19 @@ def test_narrow_rows_are_spread_without_a_setting(spark):
         spark.conf.set(skew.SPREAD_SETTING, before)
 
 
+def test_narrow_rows_are_spread_by_their_number(spark, monkeypatch):
+    before = spark.conf.get(skew.SPREAD_SETTING)
+    spark.conf.unset(skew.SPREAD_SETTING)
+    monkeypatch.setattr(skew, "ROWS_A_TASK", 50, raising=False)
+    try:
+        spread = skew.spread(spark.range(5001).coalesce(1), "id", always=True)
+        assert spread.rdd.getNumPartitions() == 101
+        assert skew.spread(spark.range(0), "id", always=True).rdd.getNumPartitions() >= 1
+        assert sorted(r.id for r in spread.collect()) == list(range(5001))
+    finally:
+        spark.conf.set(skew.SPREAD_SETTING, before)
+
+
 def test_no_side_is_broadcast_by_the_size_of_its_files(spark, tmp_path):
     tune(spark)
     spark.range(50).select("id", F.concat(F.lit("r/m"), F.col("id").cast("string")).alias("path")).write.parquet(str(tmp_path / "t"))
