@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from codeloom.operators import queue, routing, scan, symbols
 from codeloom.plans import analyze
 from suite.views import Tables
+from tests.corpus import frame
 from tools.check import canonical, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -71,3 +72,11 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry_returns_all_documents(spark):
     assert entry.entry(spark).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_kept_index_holds_the_files_as_stored(spark):
+    """Scans and edits read stored texts and don't make them anew in each of their branches."""
+    made = frame(spark).repartition(3, "path")
+    kept = analyze.build_index(made, keep=True).files
+    assert kept.inputFiles() and "Repartition" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(kept.collect()) == sorted(made.collect())
