@@ -47,3 +47,19 @@ def test_other_repositories_stay(spark, tmp_path):
     changes = incremental.refresh(store, 1, frame(spark, one), both.limit(1))
     assert {r.state for r in changes.collect()} == {"removed"}
     assert rows(incremental.liveness(store).filter("repo = '/b'")) == before
+
+
+def test_texts_are_made_twice_a_refresh(spark, tmp_path):
+    """Once to be hashed and once to be stored; steps after that read what is stored."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(content):
+        made.add(1)
+        return content
+
+    store = incremental.Store(spark, str(tmp_path / "store"))
+    snapshot = frame(spark).withColumn("content", counted("content"))
+    incremental.refresh(store, 0, snapshot, frame(spark).select("repo").distinct())
+    assert store.rows("files").count() == len(FILES)
+    assert 0 < made.value <= 2 * len(FILES)
