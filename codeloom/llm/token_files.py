@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ BLOCK_BITS = 512
 SHARD_TOKENS = 1 << 18
 # Encoded words, and runs of letters in them, that a worker remembers; later ones are encoded each time.
 CACHED_WORDS = 600_000
+# Texts are encoded in pieces of about so many bytes: the longer, the more words repeat.
+ENCODED_BYTES = 8_000_000
 SCHEMA = (
     "part int, shard int, plane int, n_planes int, n_tokens long, zeros long, bits binary, ones binary, "
     "doc_ids array<long>, lengths array<long>"
@@ -46,7 +49,7 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 class WordEncoder(dict):
-    """Ids (as little-endian 32-bit bytes) of a text, word by word; words are remembered.
+    """Ids (as little-endian 32-bit bytes) of texts, word by word; words are remembered.
 
     White space never joins tokens of this tokenizer, so words can be encoded one by one.
     """
@@ -60,7 +63,7 @@ class WordEncoder(dict):
         self.model = self.whole.model
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in set(keep)]
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[str, bytes] = {}
         self.shown = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
     @classmethod
@@ -69,31 +72,55 @@ class WordEncoder(dict):
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _run(self, run: str) -> list[int]:
+    def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
             shown = run if run.isascii() else "".join([self.shown[b] for b in run.encode()])
-            ids = [t.id for t in self.model.tokenize(shown)]
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.runs) < CACHED_WORDS:
                 self.runs[run] = ids
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = PLAIN.fullmatch(text)
-        if plain and len(text) < 64:
+        short = len(word) < 64
+        if short and word.isalpha():
+            out = self._run(word.lower().decode())
+        elif short and (plain := PLAIN.fullmatch(word.decode())):
             letters, marks = plain.groups()
-            ids = self._run(letters.lower()) + (self._run(marks) if marks else [])
+            out = self._run(letters.lower()) + self._run(marks) if marks else self._run(letters.lower())
         else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
-        if len(word) < 64 and len(self) < CACHED_WORDS:
+            out = array("I", self.whole.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if short and len(self) < CACHED_WORDS:
             self[word] = out
         return out
 
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
+    def ids_of(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, each distinct word looked up once; a null text has none."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(list(map(self.__getitem__, distinct)), pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
+
+
+def gathered(batches: Iterable[pa.RecordBatch], least: int = ENCODED_BYTES) -> Iterator[pa.Table]:
+    """Rows of some batches at once, with texts of about ``least`` bytes together."""
+    held, total = [], 0
+    for batch in pieces(batches, most=least):
+        held.append(batch)
+        total += batch.column("text").nbytes
+        if total >= least:
+            yield pa.Table.from_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
 
 def build_planes(ids: np.ndarray, planes: int = PLANES) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(packed bits, ones before each block, zeros) of the planes from the highest bit down."""
@@ -107,7 +134,8 @@ def build_planes(ids: np.ndarray, planes: int = PLANES) -> list[tuple[np.ndarray
         per_block = np.add.reduceat(per_byte, np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.int64) if len(bits) else np.empty(0, np.int64)
         ones = np.concatenate([[0], np.cumsum(per_block)]).astype("<u4")
         out.append((packed, ones, len(bits) - int(ones[-1])))
-        ids = np.concatenate([ids[~bits], ids[bits]])
+        # Positions are several times faster than masks here, as bits are hard to predict.
+        ids = ids[np.concatenate([np.flatnonzero(~bits), np.flatnonzero(bits)])]
     return out
 
 
@@ -175,8 +203,8 @@ class WaveletMatrix:
             bits, _, zeros = self.planes[k]
             plane = np.unpackbits(bits, count=self.n).view(bool)
             before = np.empty(self.n, dtype=kind)
-            before[~plane] = ids[:zeros]
-            before[plane] = ids[zeros:] | kind(1 << (len(self.planes) - 1 - k))
+            before[np.flatnonzero(~plane)] = ids[:zeros]
+            before[np.flatnonzero(plane)] = ids[zeros:] | kind(1 << (len(self.planes) - 1 - k))
             ids = before
         return ids.astype(np.uint32)
 
@@ -207,13 +235,11 @@ def encoded(path: str):
             for row in shard_rows(part, shard, doc_ids, texts, planes):
                 yield pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in pieces(batches):
-            texts_read = batch.column("text").cast(pa.binary()).to_pylist()
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_read):
-                ids = encoder.ids(text or b"") + end
+        for rows in gathered(batches):
+            for doc_id, ids in zip(rows["doc_id"].to_pylist(), encoder.ids_of(rows["text"].cast(pa.large_string()).combine_chunks())):
                 doc_ids.append(doc_id)
-                texts.append(ids)
-                size += len(ids) // 4
+                texts.append(ids + end)
+                size += len(ids) // 4 + 1
                 if size >= SHARD_TOKENS:
                     yield from closed()
                     shard, size, doc_ids, texts = shard + 1, 0, [], []

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,29 @@ def test_words_encode_like_whole_texts():
         assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == encode.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_of_a_batch_is_looked_up_once():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, met = Tokenizer.from_file(path), []
+
+    class Watched(token_files.WordEncoder):
+        def __getitem__(self, word):
+            met.append(word)
+            return super().__getitem__(word)
+
+    texts = ["Éa don't \x0b a!  ", None, "", " \n", "a! b " * 1000, "b \x1c a!", "ÉA <|endoftext|> " + "z" * 300 + " 1999."]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array([t], pa.string())}) for t in texts]
+    encoder = Watched(path)
+    found = [encoder.ids_of(t["text"].cast(pa.large_string()).combine_chunks()) for t in token_files.gathered(batches)]
+    assert [np.frombuffer(ids, "<u4").tolist() for some in found for ids in some] == [
+        encode.encode(t or "", add_special_tokens=False).ids for t in texts
+    ]
+    assert len(met) == len(set(met))
+    assert [len(t) for t in token_files.gathered(batches, least=2_000)] == [5, 2]
+
+
+
 def test_wavelet_matrix():
     ids = RNG.integers(0, 60000, 3000).astype(np.uint16)
     ids[::5] = 9
