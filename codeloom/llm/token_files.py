@@ -37,7 +37,7 @@ BLOCK_BITS = 512
 # A shard is closed at the first document end after so many ids.
 SHARD_TOKENS = 1 << 18
 # Encoded words, and runs of letters in them, that a worker remembers; later ones are encoded each time.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 # Texts are encoded in pieces of about so many bytes: the longer, the more words repeat.
 ENCODED_BYTES = 8_000_000
 SCHEMA = (

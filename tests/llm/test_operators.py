@@ -161,6 +161,24 @@ def test_a_word_of_a_batch_is_looked_up_once():
     assert [len(t) for t in token_files.gathered(batches, least=2_000)] == [5, 2]
 
 
+def test_an_encoder_remembers_little():
+    import tracemalloc
+
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = (a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in "aei")
+    some = [w for w, _ in zip(words, range(400_000))]
+    tracemalloc.start()
+    try:
+        for i in range(0, len(some), 50_000):
+            encoder.ids(" ".join(some[i:i + 50_000]).encode())
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 70e6
+
+
+
 
 def test_wavelet_matrix():
     ids = RNG.integers(0, 60000, 3000).astype(np.uint16)
