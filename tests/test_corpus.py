@@ -1,5 +1,7 @@
 """Expected symbols, edges, findings, actions and routes of the hand-written corpus."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ def test_import_resolution(index):
     assert edges["/a/pkg/__init__.py", "core", "build"].resolved_file == "/a/pkg/core.py"
 
 
+def test_the_summary_counts_every_part_of_the_index(index):
+    inits = symbols.init_exports(index.symbols)
+    edges = symbols.import_edges(index.symbols)
+    row = symbols.index_summary(index.definitions, scan.identifier_usages(index.files), edges, inits).first().asDict()
+    words = {w for content in FILES.values() for w in re.findall(r"\b[A-Za-z_]\w+\b", content)}
+    assert row == {"defined_symbols": 26, "symbols_with_usage": len(words), "import_edges": 12, "init_exports": 2}
+
+
 def test_fan_in_and_star_sources(index):
     assert pairs(graph.star_import_sources(symbols.import_edges(index.symbols), index.files), "path") == {("/a/helpers.py",)}
     assert dict(pairs(graph.fan_in(index.edges), "path", "n_importers"))["/a/pkg/core.py"] == 2

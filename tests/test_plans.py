@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,27 @@ def test_query_equals_its_sql(spark, name):
     assert got == canonical(duck(FOLDER).sql(oracle).to_arrow_table())
 
 
+def test_index_summary_returns_the_used_names_of_every_module(spark, tmp_path):
+    """Names with digits, marks and other letters, a null one, and modules that don't parse; the SQL has no form for nulls."""
+    names = ["large ring", "a 2nd_x été", "Box if _ i", "naïve-9 x9", "don't pad"] * 50
+    parts = spark.createDataFrame([(k, names[k], k % 50) for k in range(250)], "p_partkey long, p_name string, p_size int")
+
+    def summary(rows, folder):
+        rows.coalesce(1).write.parquet(f"{folder}/part.parquet")
+        texts = [r.content for r in Tables(spark, str(folder)).code.collect()]
+        used = {w for content in texts for w in re.findall(r"\b[A-Za-z_]\w+\b", content)}
+        got = entry.queries()["index_summary"](spark, str(folder))
+        assert got.first().symbols_with_usage == len(used)
+        return got
+
+    con = duckdb.connect()
+    got = summary(parts, tmp_path / "plain")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/plain/part.parquet/*.parquet'")
+    assert canonical(got.toArrow()) == canonical(con.sql(entry.oracle_sql()["index_summary"]).to_arrow_table())
+    nulls = parts.withColumn("p_name", F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")))
+    summary(nulls.unionAll(nulls.limit(20)), tmp_path / "odd")
+
+
 def test_entry_returns_all_documents(spark):
     assert entry.entry(spark).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
